@@ -17,8 +17,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orbweave.functions.ids import reference_key, squeeze
+from orbweave.session import cut
 
 EARLIEST = "2000-01-01"
+#: Keys of eight or some sixty bytes; more of them are joined by shuffle.
+BROADCAST_ROWS = 500_000
 
 
 def clean_events(signals: DataFrame) -> DataFrame:
@@ -32,18 +35,28 @@ def clean_events(signals: DataFrame) -> DataFrame:
     )
 
 
+def _sized(df: DataFrame, rows: int) -> DataFrame:
+    """df marked for broadcast if its counted rows are few; else left to a shuffle join."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
 def split_deliveries(events: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """First deliveries, the signed deltas of later ones, and the events as they stand.
 
-    Deltas between the first and the last delivery cancel out, so per id one retraction and one insertion remain, and
-    one aggregation by id gives all three.
+    Only ids that came more than once need to be brought together. They are found by a count over 64-bit hashes, so the
+    rows themselves are not shuffled; two ids with one hash are looked at as well, which changes nothing. Deltas between
+    the first and the last delivery cancel out, so one retraction and one insertion per id remain.
     """
-    body = F.struct("version", "entity_id", "kind", "score", "day")
-    ids = events.groupBy("id").agg(F.min(body).alias("first"), F.max(body).alias("last"), F.count("*").alias("deliveries"))
     flat = lambda c: [F.col(f"{c}.{x}").alias(x) for x in ("entity_id", "kind", "score", "day")]
+    hashed = events.withColumn("h", F.xxhash64("id"))
+    repeated = cut(hashed.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") > 1).select("h"))
+    rows = repeated.count()
+    once = hashed.join(_sized(repeated, rows), "h", "left_anti").select("entity_id", "kind", "score", "day")
+    body = F.struct("version", "entity_id", "kind", "score", "day")
+    ids = cut(hashed.join(_sized(repeated, rows), "h", "left_semi").groupBy("id").agg(F.min(body).alias("first"), F.max(body).alias("last"), F.count("*").alias("deliveries")))
     again = ids.filter(F.col("deliveries") > 1)
     deltas = again.select(*flat("first"), F.lit(-1).alias("sign")).unionByName(again.select(*flat("last"), F.lit(1).alias("sign")))
-    return ids.select(*flat("first")), deltas, ids.select(*flat("last"))
+    return once.unionByName(ids.select(*flat("first"))), deltas, once.unionByName(ids.select(*flat("last")))
 
 
 def summarise(events: DataFrame) -> DataFrame:
@@ -63,11 +76,15 @@ def apply_deltas(state: DataFrame, deltas: DataFrame, live: DataFrame) -> DataFr
         (F.coalesce("s.n", F.lit(0)) + F.coalesce("d.dn", F.lit(0))).alias("n"), (F.coalesce("s.total", F.lit(0)) + F.coalesce("d.dtotal", F.lit(0))).cast("decimal(18,2)").alias("total"),
         F.greatest("s.latest", "d.ins").alias("top"), (F.coalesce(F.col("d.ret") >= F.col("s.latest"), F.lit(False)) & F.coalesce(F.col("d.ins") < F.col("s.latest"), F.lit(True))).alias("lost"),
     )
-    lost = both.filter("lost").select(F.col("entity_id").alias("e"), F.col("kind").alias("k"))
-    again = live.join(lost, (F.col("entity_id") == F.col("e")) & F.col("kind").eqNullSafe(F.col("k")), "left_semi").groupBy(F.col("entity_id").alias("e"), F.col("kind").alias("k")).agg(F.max("day").alias("found"))
+    both = cut(both)
     kept = both.filter(~F.col("lost")).select("entity_id", "kind", "n", "total", F.col("top").alias("latest"))
-    redone = both.filter("lost").join(again, (F.col("entity_id") == F.col("e")) & F.col("kind").eqNullSafe(F.col("k")), "left").select("entity_id", "kind", "n", "total", F.col("found").alias("latest"))
-    return kept.unionByName(redone).filter(F.col("n") > 0)
+    lost = both.filter("lost").select(F.col("entity_id").alias("e"), F.col("kind").alias("k"))
+    rows = lost.count()
+    if rows:
+        same = (F.col("entity_id") == F.col("e")) & F.col("kind").eqNullSafe(F.col("k"))
+        again = live.join(_sized(lost, rows), same, "left_semi").groupBy(F.col("entity_id").alias("e"), F.col("kind").alias("k")).agg(F.max("day").alias("found"))
+        kept = kept.unionByName(both.filter("lost").join(again, same, "left").select("entity_id", "kind", "n", "total", F.col("found").alias("latest")))
+    return kept.filter(F.col("n") > 0)
 
 
 def wide(state: DataFrame, kinds: list[str]) -> DataFrame:

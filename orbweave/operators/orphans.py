@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orbweave.functions.ids import reference_key
+from orbweave.session import cut
 
 HEAVY_FRACTION = 1e-4
 
@@ -39,20 +40,20 @@ def _verdict() -> F.Column:
     return F.when(F.coalesce(F.col("live"), F.lit(False)), F.lit("live")).when(F.coalesce(F.col("gone"), F.lit(False)), F.lit("deleted")).otherwise(F.lit("missing"))
 
 
-def _checked(refs: DataFrame, entities: DataFrame, merges: DataFrame, fraction: float) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Groups per table, key and period; the verdicts of suspect keys, light and heavy."""
-    groups = refs.groupBy("table_name", "key", F.date_trunc("month", "created_at").alias("period")).agg(F.count("*").alias("n"), F.min("created_at").alias("first_at"), F.max("created_at").alias("last_at"))
-    keys = groups.groupBy("key").agg(F.sum("n").alias("n"), F.min("first_at").alias("first_at"))
-    total = keys.agg(F.sum("n").alias("total"))
-    weighed = keys.crossJoin(F.broadcast(total))  # one row
-    heavy = weighed.filter(F.col("n") > F.greatest(F.lit(1000.0), F.col("total") * fraction)).select("key", "first_at")
-    light = weighed.filter(~(F.col("n") > F.greatest(F.lit(1000.0), F.col("total") * fraction))).select("key", "first_at")
+def _suspects(keys: DataFrame, entities: DataFrame, merges: DataFrame, fraction: float) -> tuple[DataFrame, DataFrame]:
+    """Suspect keys with their verdict, light and heavy. keys: key, n, first_at; written out once, as all else hangs on it."""
+    keys = cut(keys)
+    total = keys.agg(F.sum("n").alias("total"))  # one row
+    weighed = keys.crossJoin(F.broadcast(total)).withColumn("heavy", F.col("n") > F.greatest(F.lit(1000.0), F.col("total") * fraction))
+    heavy = weighed.filter("heavy").select("key", "first_at")
+    light = weighed.filter("not heavy").select("key", "first_at")
     parents = _parents(entities, merges)
-    known_heavy = parents.join(F.broadcast(heavy), "key", "left_semi")  # at most 1/fraction rows
+    known_heavy = parents.join(F.broadcast(heavy.select("key")), "key", "left_semi")  # at most 1/fraction rows
     suspect = (F.col("verdict") != "live") | (F.col("parent_at") > F.col("first_at"))
-    light_bad = light.join(parents, "key", "left").withColumn("verdict", _verdict()).filter(suspect).select("key", "parent_at", "verdict")
-    heavy_bad = heavy.join(F.broadcast(known_heavy), "key", "left").withColumn("verdict", _verdict()).filter(suspect).select("key", "parent_at", "verdict")
-    return groups, light_bad, heavy_bad
+    light_bad = light.join(parents, "key", "left").withColumn("verdict", _verdict()).filter(suspect).select("key", "parent_at", "verdict", F.lit(False).alias("heavy"))
+    heavy_bad = heavy.join(F.broadcast(known_heavy), "key", "left").withColumn("verdict", _verdict()).filter(suspect).select("key", "parent_at", "verdict", F.lit(True).alias("heavy"))
+    bad = cut(light_bad.unionByName(heavy_bad))
+    return bad.filter("not heavy").drop("heavy"), bad.filter("heavy").drop("heavy")
 
 
 def _joined(rows: DataFrame, light_bad: DataFrame, heavy_bad: DataFrame) -> DataFrame:
@@ -64,7 +65,8 @@ def _joined(rows: DataFrame, light_bad: DataFrame, heavy_bad: DataFrame) -> Data
 
 def orphan_rows(refs: DataFrame, entities: DataFrame, merges: DataFrame, fraction: float = HEAVY_FRACTION) -> DataFrame:
     """(table_name, id, kind) of each distinct child id whose reference had nothing to point at: missing, deleted or late."""
-    _, light_bad, heavy_bad = _checked(refs, entities, merges, fraction)
+    keys = refs.groupBy("key").agg(F.count("*").alias("n"), F.min("created_at").alias("first_at"))
+    light_bad, heavy_bad = _suspects(keys, entities, merges, fraction)
     kind = F.when(F.col("verdict") != "live", F.col("verdict")).when(F.col("parent_at") > F.col("created_at"), F.lit("late"))
     return _joined(refs.filter(F.col("id").isNotNull()), light_bad, heavy_bad).select("table_name", "id", kind.alias("kind")).filter(F.col("kind").isNotNull()).distinct()
 
@@ -75,8 +77,8 @@ def orphan_report(refs: DataFrame, entities: DataFrame, merges: DataFrame, fract
     Works on the pre-aggregated groups: a group all of whose rows are late, or none, needs no row. Only the one month in
     which a parent appeared is counted row by row. `references` and `orphans` count deliveries, not distinct ids.
     """
-    groups, light_bad, heavy_bad = _checked(refs, entities, merges, fraction)
-    groups = groups.select("table_name", "key", "period", "n", "first_at", "last_at")
+    groups = cut(refs.groupBy("table_name", "key", F.date_trunc("month", "created_at").alias("period")).agg(F.count("*").alias("n"), F.min("created_at").alias("first_at"), F.max("created_at").alias("last_at")))
+    light_bad, heavy_bad = _suspects(groups.groupBy("key").agg(F.sum("n").alias("n"), F.min("first_at").alias("first_at")), entities, merges, fraction)
     bad = _joined(groups, light_bad, heavy_bad)
     whole = bad.select("table_name", "period", F.when(F.col("verdict") != "live", F.col("verdict")).when(F.col("parent_at") > F.col("last_at"), F.lit("late")).alias("kind"), "n").filter(F.col("kind").isNotNull())
     edge = (F.col("verdict") == "live") & (F.col("parent_at") > F.col("first_at"))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,7 +33,25 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and go on from there: survives lost executors, ends the lineage."""
+@contextmanager
+def fixed_plans(spark: SparkSession) -> Iterator[None]:
+    """Plan without runtime re-planning inside: many short steps of an iteration need no query stages of their own."""
+    name = "spark.sql.adaptive.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def cut(df: DataFrame, adaptive: bool = True) -> DataFrame:
+    """Write df to the shared checkpoint folder and go on from there: survives lost executors, ends the lineage.
+
+    adaptive=False for the steps of an iteration whose join keys cannot be skewed.
+    """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    if adaptive:
+        return df.checkpoint(eager=True)
+    with fixed_plans(df.sparkSession):
+        return df.checkpoint(eager=True)
