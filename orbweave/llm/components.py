@@ -19,7 +19,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orbweave.session import cut
+from orbweave.session import cut, fixed_plans
 
 
 def _vertices(edges: DataFrame) -> DataFrame:
@@ -36,16 +36,16 @@ def _walk_ends(low: DataFrame, twos: int) -> DataFrame:
     onward = steps.select(F.col("n1").alias("u"), F.col("src").alias("v"), F.col("n2").alias("to")).unionByName(steps.select(F.col("n2").alias("u"), F.col("src").alias("v"), F.col("n1").alias("to")))
     out = low.select(F.col("src").alias("u"), F.explode(F.array_distinct(F.array("n1", "n2"))).alias("v"))
     arcs = out.join(onward, ["u", "v"], "left").select("u", "v", F.when(F.col("to").isNotNull(), F.col("v")).otherwise(F.col("u")).alias("nu"), F.coalesce("to", "v").alias("nv"), F.col("to").isNull().alias("done"), F.least("u", "v").alias("least"))
-    arcs = cut(arcs)
+    arcs = cut(arcs, adaptive=False)  # keys are arcs, each of them once
     for _ in range(math.ceil(math.log2(twos + 1)) + 1):
-        if not arcs.filter(~F.col("done")).limit(1).count():
+        if arcs.filter(~F.col("done")).isEmpty():
             break
         ahead = arcs.select(F.col("u").alias("nu"), F.col("v").alias("nv"), F.col("nu").alias("mu"), F.col("nv").alias("mv"), F.col("done").alias("mdone"), F.col("least").alias("mleast"))
         open_ = arcs.filter(~F.col("done")).join(ahead, ["nu", "nv"], "left").select(
             "u", "v", F.coalesce("mu", "nu").alias("nu"), F.coalesce("mv", "nv").alias("nv"),
             # a walk that reaches a branching vertex has no arc ahead
             F.coalesce("mdone", F.lit(True)).alias("done"), F.least("least", F.coalesce("mleast", "nv")).alias("least"))
-        arcs = cut(arcs.filter("done").unionByName(open_))
+        arcs = cut(arcs.filter("done").unionByName(open_), adaptive=False)
     return arcs
 
 
@@ -59,8 +59,10 @@ def _strip(edges: DataFrame, vertices: DataFrame, twos: int) -> tuple[DataFrame,
     ranked = ends.groupBy("u").agg(F.min(F.when(F.col("hub"), F.col("nv"))).alias("hub1"), F.max(F.when(F.col("hub"), F.col("nv"))).alias("hub2"), F.min(F.least("least", "nv")).alias("least"), F.count("*").alias("walks"))
     removed = ranked.select(F.col("u").alias("v"), F.coalesce("hub1", "least").alias("parent")).filter(F.col("v") != F.col("parent"))
     bridges = ranked.filter(F.col("hub1") != F.col("hub2")).select(F.col("hub1").alias("a"), F.col("hub2").alias("b")).distinct()
-    gone = low.select("src")
-    kept = edges.join(gone, "src", "left_anti").join(gone.withColumnRenamed("src", "dst"), "dst", "left_anti").select("src", "dst")
+    # a removed vertex knows all its edges, so they go by whole edges and no hub is a join key
+    mine = low.select("src", F.explode(F.array_distinct(F.array("n1", "n2"))).alias("dst"))
+    lost = mine.unionByName(mine.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    kept = edges.join(lost, ["src", "dst"], "left_anti")
     both = bridges.select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(bridges.select(F.col("b").alias("src"), F.col("a").alias("dst")))
     return removed, kept.unionByName(both).distinct()
 
@@ -89,16 +91,17 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     rounds: list[DataFrame] = []
     core = None
     while True:
-        vertices = cut(_vertices(edges))
-        sizes = vertices.agg(F.count("*").alias("n"), F.count_if(F.col("d") <= 2).alias("low"), F.count_if(F.col("d") == 2).alias("twos")).first()
+        vertices = cut(_vertices(edges), adaptive=False)
+        with fixed_plans(edges.sparkSession):
+            sizes = vertices.agg(F.count("*").alias("n"), F.count_if(F.col("d") <= 2).alias("low"), F.count_if(F.col("d") == 2).alias("twos")).first()
         if not sizes["n"]:
             break
         if not sizes["low"]:
             core = _core(edges)
             break
         removed, rest = _strip(edges, vertices, sizes["twos"])
-        rounds.append(cut(removed))
-        edges = cut(rest)
+        rounds.append(cut(removed, adaptive=False))
+        edges = cut(rest, adaptive=False)
     spark = links.sparkSession
     labels = core if core is not None else spark.createDataFrame([], f"v {dict(edges.dtypes)['src']}, label {dict(edges.dtypes)['src']}")
     for removed in reversed(rounds):

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orbweave.functions.ids import squeeze, uuid_value
-from orbweave.llm import bpe, packing
+from orbweave.llm import bpe, packing, spellings, survivorship, truncation
 from orbweave.llm.components import components
 from orbweave.sources.tables import table
 
@@ -34,8 +34,35 @@ def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill_containers(docs.select("doc_id", bpe.token_counts()("text").alias("tokens")))
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spellings.same_name_pairs(spellings.spelling_groups(table(spark, sf_dir, "entities")))
+
+
+def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spellings.spelling_groups(table(spark, sf_dir, "entities"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return survivorship.present_values(table(spark, sf_dir, "entities"))
+
+
+def p2_golden(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return survivorship.golden(table(spark, sf_dir, "entities"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.cut_documents(table(spark, sf_dir, "documents"))
+
+
+def p10_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.cut_report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {"p5_found": p5_found, "p8_ids": p8_ids, "p9_containers": p9_containers}
+    return {
+        "p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_golden": p2_golden, "p5_found": p5_found,
+        "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_found": p10_found, "p10_report": p10_report,
+    }
 
 
 def _uuid_sql(c: str) -> str:
