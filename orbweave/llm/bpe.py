@@ -14,10 +14,8 @@ import os
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 DEFAULT_VOCABULARY = os.environ.get("ORBWEAVE_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 #: Fixed value: the pattern that splits text before the merges, as published with the vocabulary.
@@ -178,15 +176,14 @@ def encode_documents(docs: DataFrame, path: str = DEFAULT_VOCABULARY, id_col: st
     return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, ids array<int>")
 
 
-def token_counts(path: str = DEFAULT_VOCABULARY):
-    """A column function: the number of ids of a text; 0 for null and empty text."""
+def token_counts(docs: DataFrame, path: str = DEFAULT_VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, tokens) of every document; 0 for null and empty text."""
 
-    @F.pandas_udf("long")
-    def count(texts: pd.Series) -> pd.Series:
-        v, out = vocabulary(path), []
-        values = texts.where(texts.notna(), None).tolist()
-        for i in range(0, len(values), 200):  # 200 texts at a time bound the memory of a task
-            out.append(np.diff(v.encode(values[i : i + 200])[1]))
-        return pd.Series(np.concatenate(out) if out else np.zeros(0), dtype="int64")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = vocabulary(path)
+        for batch in batches:
+            for a, b in _pieces(batch.column(1)):
+                size = np.diff(v.encode(batch.column(1).slice(a, b - a).to_pylist())[1])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(size, pa.int64())], [id_col, "tokens"])
 
-    return count
+    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {dict(docs.dtypes)[id_col]}, tokens long")

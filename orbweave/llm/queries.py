@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orbweave.functions.ids import squeeze, uuid_value
-from orbweave.llm import bpe, packing, spellings, survivorship, truncation
+from orbweave.llm import bpe, linkage, packing, spellings, survivorship, truncation
 from orbweave.llm.components import components
 from orbweave.sources.tables import table
 
@@ -21,6 +21,14 @@ def group_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.join(ids.withColumnRenamed("id", "a"), "a", "left_semi").join(ids.withColumnRenamed("id", "b"), "b", "left_semi").select("a", "b")
 
 
+def p4_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linkage.matches(table(spark, sf_dir, "entities"), table(spark, sf_dir, "vendor_records"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p4_matches(spark, sf_dir).filter(F.col("confidence") >= linkage.MATCH).select("entity_id", "record_id")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components(group_links(spark, sf_dir)).select(F.col("id").alias("entity_id"), "group_id")
 
@@ -31,7 +39,7 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").filter(F.col("text") != "")
-    return packing.fill_containers(docs.select("doc_id", bpe.token_counts()("text").alias("tokens")))
+    return packing.fill_containers(bpe.token_counts(docs))
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +68,7 @@ def p10_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
-        "p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_golden": p2_golden, "p5_found": p5_found,
+        "p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_golden": p2_golden, "p4_found": p4_found, "p4_matches": p4_matches, "p5_found": p5_found,
         "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_found": p10_found, "p10_report": p10_report,
     }
 
