@@ -6,7 +6,7 @@ import tempfile
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def build_session(app: str = "orbweave", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
@@ -54,4 +54,12 @@ def cut(df: DataFrame, adaptive: bool = True) -> DataFrame:
     if adaptive:
         return df.checkpoint(eager=True)
     with fixed_plans(df.sparkSession):
-        return df.checkpoint(eager=True)
+        # unions add up partitions from round to round
+        return df.coalesce(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))).checkpoint(eager=True)
+
+
+def cut_and_count(df: DataFrame, adaptive: bool = True, **what: Column) -> tuple[DataFrame, dict]:
+    """cut, with aggregates of the rows taken while they are written: no job of their own."""
+    seen = Observation()
+    out = cut(df.observe(seen, *[c.alias(k) for k, c in what.items()]), adaptive)
+    return out, seen.get
