@@ -19,7 +19,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orbweave.session import cut, fixed_plans
+from orbweave.session import cut, cut_and_count
 
 
 def _vertices(edges: DataFrame) -> DataFrame:
@@ -36,16 +36,17 @@ def _walk_ends(low: DataFrame, twos: int) -> DataFrame:
     onward = steps.select(F.col("n1").alias("u"), F.col("src").alias("v"), F.col("n2").alias("to")).unionByName(steps.select(F.col("n2").alias("u"), F.col("src").alias("v"), F.col("n1").alias("to")))
     out = low.select(F.col("src").alias("u"), F.explode(F.array_distinct(F.array("n1", "n2"))).alias("v"))
     arcs = out.join(onward, ["u", "v"], "left").select("u", "v", F.when(F.col("to").isNotNull(), F.col("v")).otherwise(F.col("u")).alias("nu"), F.coalesce("to", "v").alias("nv"), F.col("to").isNull().alias("done"), F.least("u", "v").alias("least"))
-    arcs = cut(arcs, adaptive=False)  # keys are arcs, each of them once
+    going = F.count_if(~F.col("done"))
+    arcs, left = cut_and_count(arcs, False, going=going)  # keys are arcs, each of them once
     for _ in range(math.ceil(math.log2(twos + 1)) + 1):
-        if arcs.filter(~F.col("done")).isEmpty():
+        if not left["going"]:
             break
         ahead = arcs.select(F.col("u").alias("nu"), F.col("v").alias("nv"), F.col("nu").alias("mu"), F.col("nv").alias("mv"), F.col("done").alias("mdone"), F.col("least").alias("mleast"))
         open_ = arcs.filter(~F.col("done")).join(ahead, ["nu", "nv"], "left").select(
             "u", "v", F.coalesce("mu", "nu").alias("nu"), F.coalesce("mv", "nv").alias("nv"),
             # a walk that reaches a branching vertex has no arc ahead
             F.coalesce("mdone", F.lit(True)).alias("done"), F.least("least", F.coalesce("mleast", "nv")).alias("least"))
-        arcs = cut(arcs.filter("done").unionByName(open_), adaptive=False)
+        arcs, left = cut_and_count(arcs.filter("done").unionByName(open_), False, going=going)
     return arcs
 
 
@@ -76,11 +77,10 @@ def _core(edges: DataFrame) -> DataFrame:
         large = sym.filter(F.col("dst") > F.col("src")).join(low, "src").select(F.col("dst").alias("src"), F.col("m").alias("dst")).filter("src <> dst").distinct()
         small_low = large.groupBy("src").agg(F.min("dst").alias("m"))
         small = large.join(small_low, "src").select(F.col("dst").alias("src"), F.col("m").alias("dst")).unionByName(small_low.select("src", F.col("m").alias("dst"))).filter("src <> dst").distinct()
-        pairs = cut(small)
-        state = pairs.agg(F.count("*"), F.sum(F.xxhash64("src", "dst") % 1_000_003)).first()
-        if tuple(state) == before:
+        pairs, state = cut_and_count(small, n=F.count(F.lit(1)), mark=F.sum(F.xxhash64("src", "dst") % 1_000_003))
+        if state == before:
             break
-        before = tuple(state)
+        before = state
     return pairs.select(F.col("src").alias("v"), F.col("dst").alias("label")).unionByName(pairs.select(F.col("dst").alias("v"), F.col("dst").alias("label"))).distinct()
 
 
@@ -91,9 +91,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     rounds: list[DataFrame] = []
     core = None
     while True:
-        vertices = cut(_vertices(edges), adaptive=False)
-        with fixed_plans(edges.sparkSession):
-            sizes = vertices.agg(F.count("*").alias("n"), F.count_if(F.col("d") <= 2).alias("low"), F.count_if(F.col("d") == 2).alias("twos")).first()
+        vertices, sizes = cut_and_count(_vertices(edges), False, n=F.count(F.lit(1)), low=F.count_if(F.col("d") <= 2), twos=F.count_if(F.col("d") == 2))
         if not sizes["n"]:
             break
         if not sizes["low"]:
