@@ -57,7 +57,7 @@ SQL = {
     "sig_gone_stale": _emit("gone_stale", "least(0.9::DOUBLE, 0.6::DOUBLE + 0.01::DOUBLE * floor((DATE '2026-03-01' - l) / 30))", "(SELECT as_of FROM p)", f"(SELECT entity_id, max(detected_date) l FROM s WHERE status='ACTIVE' AND base_type IS DISTINCT FROM 'gone_stale' AND base_type IS NOT NULL GROUP BY 1) x WHERE l < DATE '2026-03-01' - 730 AND {_ACT} AND NOT EXISTS (SELECT 1 FROM c WHERE c.entity_id = x.entity_id AND award_date >= DATE '2026-03-01' - 730) AND NOT EXISTS (SELECT 1 FROM f WHERE f.entity_id = x.entity_id AND event_date >= DATE '2026-03-01' - 730)"),
     "sig_sbir_lapse_risk": _emit("sbir_lapse_risk", "round(s / (s + coalesce(ct, 0)), 2)", "(SELECT as_of FROM p)", f"(SELECT x.*, (SELECT sum(contract_value)::DOUBLE FROM c WHERE c.entity_id = x.entity_id) ct FROM (SELECT entity_id, count(*) FILTER (event_type IN {_SB}) n, coalesce(sum(amount) FILTER (event_type IN {_SB}), 0)::DOUBLE s, coalesce(sum(amount) FILTER (event_type IN ('REG_D_FILING','PRIVATE_ROUND')), 0)::DOUBLE pr FROM f WHERE id NOT IN (SELECT parent_event_id FROM f WHERE parent_event_id IS NOT NULL) GROUP BY 1) x) WHERE s >= 500000 AND n >= 2 AND pr < 1000000 AND {_START} AND s / (s + coalesce(ct, 0)) > 0.7::DOUBLE"),
     "sig_ota_bridge_award": _emit("ota_bridge_award", "0.9", "d", f"(SELECT c.entity_id, min(award_date) d FROM c JOIN (SELECT entity_id, min(award_date) o FROM c WHERE procurement_type='ota' AND award_date IS NOT NULL GROUP BY 1) k USING (entity_id) WHERE procurement_type='standard' AND award_date > o AND {_START} GROUP BY 1)"),
-    "sig_multi_vehicle_presence": _emit("multi_vehicle_presence", "0.8", "(SELECT as_of FROM p)", f"(SELECT entity_id, max(coalesce(procurement_type='ota', false)::INT) + max(coalesce((upper(psc_code) LIKE 'A%'), false)::INT) + max((coalesce(procurement_type='standard', false) AND NOT coalesce(upper(psc_code) LIKE 'A%', false))::INT) + max((entity_id IN (SELECT entity_id FROM f WHERE event_type IN {_SB}))::INT) k FROM c WHERE {_START} GROUP BY 1) WHERE k >= 3"),
+    "sig_multi_vehicle_presence": _emit("multi_vehicle_presence", "0.8", "(SELECT as_of FROM p)", f"(SELECT entity_id, max(coalesce(procurement_type='ota', false)::INT) + max(coalesce((upper(psc_code) LIKE 'A%'), false)::INT) + max((coalesce(procurement_type='standard', false) AND NOT coalesce(upper(psc_code) LIKE 'A%', false))::INT) + max((entity_id IN (SELECT entity_id FROM f WHERE event_type IN {_SB} AND entity_id IS NOT NULL))::INT) k FROM c WHERE {_START} GROUP BY 1) WHERE k >= 3"),
     "sig_contract_value_step_change": _emit("contract_value_step_change", "0.75", "award_date", f"(SELECT x.*, (SELECT median(contract_value::DOUBLE) FROM c WHERE c.entity_id = x.entity_id AND c.id <> x.id AND contract_value > 0 AND award_date IS NOT NULL) m FROM (SELECT entity_id, id, award_date, contract_value::DOUBLE v, row_number() OVER (PARTITION BY entity_id ORDER BY award_date DESC, id DESC) r, count(*) OVER (PARTITION BY entity_id) n FROM c WHERE contract_value > 0 AND award_date IS NOT NULL AND {_START}) x WHERE r = 1 AND n >= 4) WHERE v >= 5 * m"),
     "sig_contract_acceleration": _emit("contract_acceleration", "CASE WHEN r >= 10 THEN 0.9::DOUBLE ELSE round(least(0.9::DOUBLE, 0.6::DOUBLE + (r - 3) * 0.05::DOUBLE), 2) END", "l", f"(SELECT *, CASE WHEN b > 0 THEN a / b ELSE a / 500000 * 3 END r FROM (SELECT entity_id, count(*) FILTER (award_date >= DATE '2026-03-01' - 720) n, coalesce(sum(contract_value) FILTER (award_date >= DATE '2026-03-01' - 720), 0)::DOUBLE a, coalesce(sum(contract_value) FILTER (award_date >= DATE '2026-03-01' - 1440 AND award_date < DATE '2026-03-01' - 720), 0)::DOUBLE b, max(award_date) l FROM c WHERE contract_value > 0 AND award_date IS NOT NULL AND {_START} GROUP BY 1)) WHERE n >= 2 AND a >= 500000 AND r >= 3"),
     "sig_commercial_pathway_fit": _emit("commercial_pathway_fit", "least(z, 1)", "(SELECT as_of FROM p)", "(SELECT e.id AS entity_id, CASE WHEN coalesce(sbir_n, 0) > 0 AND coalesce(regd_n, 0) > 0 THEN 0.3::DOUBLE ELSE 0 END + CASE WHEN e.id IN (SELECT entity_id FROM c WHERE entity_id IS NOT NULL) AND coalesce(regd_n, 0) > 0 THEN 0.2::DOUBLE ELSE 0 END + least(0.1::DOUBLE * coalesce(len(list_filter(technology_tags, lambda x: x IN ('additive_mfg','batteries','composites','edge_ai','lidar','thermal'))), 0), 0.2::DOUBLE) z FROM startup e LEFT JOIN ph ON ph.entity_id = e.id) WHERE z >= 0.4::DOUBLE"),
