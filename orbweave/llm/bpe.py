@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 DEFAULT_VOCABULARY = os.environ.get("ORBWEAVE_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
@@ -156,7 +157,7 @@ def vocabulary(path: str) -> Vocabulary:
 
 def _pieces(texts: pa.Array, most: int = 1 << 22) -> Iterator[tuple[int, int]]:
     """Row ranges of about `most` bytes, so that a batch of very long texts needs no more memory than another."""
-    size = pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
     block = np.cumsum(size) // most
     cuts = np.concatenate(([0], np.flatnonzero(np.diff(block)) + 1, [len(size)]))
     return ((int(a), int(b)) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b > a)

@@ -140,6 +140,6 @@ def cut_documents(docs: DataFrame) -> DataFrame:
 def cut_report(docs: DataFrame) -> DataFrame:
     """Per source: documents, documents with a text, cut ones and their share of those."""
     found = cut_documents(docs).withColumn("hit", F.lit(1))
-    return docs.join(found, "doc_id", "left").groupBy("source").agg(
+    return docs.select("doc_id", "source", "text").join(found, "doc_id", "left").groupBy("source").agg(
         F.count("*").alias("documents"), F.count_if(F.col("text").rlike(r"\S")).alias("with_text"), F.coalesce(F.sum("hit"), F.lit(0)).alias("cut_texts"),
     ).withColumn("share", F.when(F.col("with_text") > 0, F.round(F.col("cut_texts") / F.col("with_text"), 6)))
