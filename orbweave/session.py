@@ -33,16 +33,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
 
 
+#: Settings for the steps of an iteration: no query stages of their own, and no constraints inherited from step to step,
+#: which double with every renamed column until the driver runs out of memory.
+STEP_SETTINGS = {"spark.sql.adaptive.enabled": "false", "spark.sql.constraintPropagation.enabled": "false"}
+
+
 @contextmanager
 def fixed_plans(spark: SparkSession) -> Iterator[None]:
-    """Plan without runtime re-planning inside: many short steps of an iteration need no query stages of their own."""
-    name = "spark.sql.adaptive.enabled"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "false")
+    """Plan the steps of an iteration plainly; the session's own settings hold again afterwards."""
+    before = {k: spark.conf.get(k) for k in STEP_SETTINGS}
+    for k, v in STEP_SETTINGS.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def cut(df: DataFrame, adaptive: bool = True) -> DataFrame:
