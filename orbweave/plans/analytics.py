@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from orbweave.functions.scalars import money, phase, round_stage
 from orbweave.operators import graph as G
 from orbweave.operators import scoring as S
 from orbweave.operators import vectors as X
@@ -288,6 +289,63 @@ def _audit(spark: SparkSession, sf: str) -> DataFrame:
     return out
 
 
+# scalars over payloads
+@query("fnc_award_amount", _B + """, j AS (SELECT id, regexp_replace(json_extract_string(raw_data, '$."Award Amount"'), '[$,\\s]', '', 'g') a, json_extract_string(raw_data, '$.Phase') ph FROM f WHERE json_valid(raw_data) AND json_type(raw_data) = 'OBJECT')
+SELECT CASE WHEN regexp_matches(upper(trim(ph)), '\\b(III|3)\\b') THEN 'SBIR_PHASE_3' WHEN regexp_matches(upper(trim(ph)), '\\b(II|2)\\b') THEN 'SBIR_PHASE_2' WHEN regexp_matches(upper(trim(ph)), '\\b(I|1)\\b') THEN 'SBIR_PHASE_1' END AS phase, count(*)::BIGINT AS n, coalesce(sum(CASE WHEN regexp_full_match(a, '-?\\d{1,16}(\\.\\d+)?') THEN a::DECIMAL(18,2) END), 0)::DOUBLE AS total FROM j GROUP BY 1""")
+def _award_amount(spark: SparkSession, sf: str) -> DataFrame:
+    """Amounts and phases as the award payloads write them; payloads that are no JSON object are left out."""
+    f = V.funding(spark, sf).filter(F.try_parse_json("raw_data").isNotNull() & F.col("raw_data").rlike(r"^\s*\{"))
+    j = f.select(phase(F.get_json_object("raw_data", "$.Phase")).alias("phase"), money(F.get_json_object("raw_data", "$['Award Amount']")).alias("amount"))
+    return j.groupBy("phase").agg(F.count("*").alias("n"), F.coalesce(F.sum("amount"), F.lit(0)).cast("double").alias("total"))
+
+
+query("fnc_round_stage", _B + " SELECT CASE WHEN amount < 2000000 THEN 'seed' WHEN amount < 15000000 THEN 'A' WHEN amount < 50000000 THEN 'B' WHEN amount < 150000000 THEN 'C' WHEN amount IS NOT NULL THEN 'growth' END AS stage, count(*)::BIGINT AS n FROM f WHERE event_type IN ('REG_D_FILING','VC_ROUND','PRIVATE_ROUND') GROUP BY 1")(
+    lambda s, d: V.funding(s, d).filter(F.col("event_type").isin(*G.PRIVATE)).groupBy(round_stage(F.col("amount")).alias("stage")).agg(F.count("*").alias("n")))
+query("fbk_validation_rates", _B + " SELECT base_type, count(*)::BIGINT AS judged, round(avg((status = 'VALIDATED')::INT), 6) AS rate FROM s WHERE status IN ('VALIDATED', 'FALSE_POSITIVE') AND base_type IS NOT NULL GROUP BY 1")(
+    lambda s, d: V.signals(s, d).filter("status IN ('VALIDATED', 'FALSE_POSITIVE') AND base_type IS NOT NULL").groupBy("base_type").agg(F.count("*").alias("judged"), F.round(F.avg((F.col("status") == "VALIDATED").cast("int")), 6).alias("rate")))
+
+
+@query("er_identifier_match", """WITH e AS (SELECT id, cage_code, duns_number FROM entities WHERE merged_into_id IS NULL), v AS (SELECT record_id, upper(trim(cage_text)) c, trim(duns_text) d FROM vendor_records),
+m AS (SELECT record_id, id, 1 p FROM v JOIN e ON e.cage_code = v.c WHERE regexp_full_match(c, '[A-Z0-9]{5}') AND c NOT IN ('00000', 'XXXXX') UNION ALL SELECT record_id, id, 2 FROM v JOIN e ON e.duns_number = v.d WHERE regexp_full_match(d, '[0-9]{9}') AND d NOT IN ('000000000', '999999999', '123456789'))
+SELECT record_id, id AS entity_id, CASE p WHEN 1 THEN 'cage' ELSE 'duns' END AS by_code FROM (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY p, id) r FROM m) WHERE r = 1""")
+def _identifier_match(spark: SparkSession, sf: str) -> DataFrame:
+    """Vendor lines resolved by code alone: CAGE before DUNS, the smallest id among several."""
+    e = V.active(spark, sf).select("id", F.col("cage_code").alias("c"), F.col("duns_number").alias("d"))
+    v = table(spark, sf, "vendor_records").select("record_id", F.upper(F.trim("cage_text")).alias("c"), F.trim("duns_text").alias("d"))
+    by_c = v.filter(F.col("c").rlike("^[A-Z0-9]{5}$") & ~F.col("c").isin("00000", "XXXXX")).join(e.select("id", "c"), "c").select("record_id", F.struct(F.lit(1).alias("p"), "id").alias("x"))
+    by_d = v.filter(F.col("d").rlike("^[0-9]{9}$") & ~F.col("d").isin("000000000", "999999999", "123456789")).join(e.select("id", "d"), "d").select("record_id", F.struct(F.lit(2).alias("p"), "id").alias("x"))
+    return by_c.unionByName(by_d).groupBy("record_id").agg(F.min("x").alias("x")).select("record_id", F.col("x.id").alias("entity_id"), F.when(F.col("x.p") == 1, "cage").otherwise("duns").alias("by_code"))
+
+
+@query("scr_enrichment_priority", _PR.replace(_PH, _W + _PH[len(_B):]) + " SELECT entity_id, 2 * (composite >= 4)::INT + (composite >= 2 AND composite < 4)::INT + 2 * (contract_n = 0)::INT + (regd_n = 0)::INT + 2 * (sbir_total >= 5000000)::INT + (sbir_total >= 1000000 AND sbir_total < 5000000)::INT AS priority FROM pr JOIN comp USING (entity_id) WHERE entity_type = 'STARTUP'")
+def _enrichment_priority(spark: SparkSession, sf: str) -> DataFrame:
+    d = S.profile(spark, sf).filter("entity_type = 'STARTUP'").join(S.composite(spark, sf), "entity_id")
+    k = lambda cond, n=1: F.expr(cond).cast("int") * n
+    total = k("composite >= 4", 2) + k("composite >= 2 AND composite < 4") + k("contract_n = 0", 2) + k("regd_n = 0") + k("sbir_total >= 5000000", 2) + k("sbir_total >= 1000000 AND sbir_total < 5000000")
+    return d.select("entity_id", total.alias("priority"))
+
+
+@query("rag_context", "SELECT entity_id, count(*)::BIGINT AS documents, sum(n)::BIGINT AS characters FROM (SELECT entity_id, n_chars n, sum(n_chars) OVER w run, row_number() OVER w r FROM documents WHERE entity_id IS NOT NULL AND n_chars > 0 AND published IS NOT NULL WINDOW w AS (PARTITION BY entity_id ORDER BY published DESC, doc_id)) WHERE r <= 15 AND (run <= 12000 OR r = 1) GROUP BY 1")
+def _context(spark: SparkSession, sf: str) -> DataFrame:
+    """The latest documents of an entity that fit a character budget; the first one always does."""
+    w = Window.partitionBy("entity_id").orderBy(F.desc("published"), "doc_id")
+    d = table(spark, sf, "documents").filter("entity_id IS NOT NULL AND n_chars > 0 AND published IS NOT NULL").select("entity_id", "doc_id", "published", F.col("n_chars").alias("n"))
+    d = d.withColumn("r", F.row_number().over(w)).filter("r <= 15").withColumn("run", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return d.filter("run <= 12000 OR r = 1").groupBy("entity_id").agg(F.count("*").alias("documents"), F.sum("n").alias("characters"))
+
+
+@query("fnd_bootstrap")
+def _fund_bootstrap(spark: SparkSession, sf: str, draws: int = 100, size: int = 20) -> DataFrame:
+    """Random cohorts of the eligible universe without replacement: mean, spread and percentiles of their mean composite."""
+    u = universe(spark, sf).select("entity_id", "composite").withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+    r = u.withColumn("r", F.row_number().over(Window.partitionBy("draw").orderBy(F.xxhash64("draw", "entity_id"), "entity_id"))).filter(F.col("r") <= size)
+    m = r.groupBy("draw").agg(F.avg("composite").alias("m"))
+    return m.agg(F.round(F.avg("m"), 4).alias("mean"), F.round(F.stddev_samp("m"), 4).alias("sd"), F.round(F.percentile("m", F.lit(0.05)), 4).alias("p5"), F.round(F.percentile("m", F.lit(0.95)), 4).alias("p95"))
+
+
+query("agg_common_terms", "SELECT source, term, n FROM (SELECT source, term, count(*)::BIGINT n, row_number() OVER (PARTITION BY source ORDER BY count(*) DESC, term) r FROM (SELECT source, unnest(regexp_extract_all(lower(title), '[a-z]{4,}')) term FROM documents WHERE title IS NOT NULL) GROUP BY 1, 2) WHERE r <= 5")(
+    lambda s, d: table(s, d, "documents").filter("title IS NOT NULL").select("source", F.explode(F.regexp_extract_all(F.lower("title"), F.lit("([a-z]{4,})"))).alias("term")).groupBy("source", "term").agg(F.count("*").alias("n")).withColumn("r", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n"), "term"))).filter("r <= 5").drop("r"))
+
 # the star schema
 query("rel_pricing", "SELECT l_returnflag, l_linestatus, count(*)::BIGINT AS n, round(sum(l_quantity), 2) AS qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY 1, 2")(
     lambda s, d: table(s, d, "lineitem").filter("l_shipdate <= timestamp_ntz'1998-09-02'").groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("qty"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue")))
