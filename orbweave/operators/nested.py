@@ -22,6 +22,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orbweave.session import cut
+
 #: More paths than this, and the paths that hold both arrays and lone objects are joined instead of sent to the tasks.
 PATHS_SENT = 20_000
 LONE = "\x01"
@@ -311,7 +313,7 @@ def _payloads(df: DataFrame, column: str) -> DataFrame:
 
 def mixed_paths(df: DataFrame, column: str) -> DataFrame:
     """The key paths of a column that hold arrays in some rows and lone objects in others."""
-    seen = _payloads(df, column).select("text").mapInArrow(_surveyor(column), "path string").distinct()
+    seen = cut(_payloads(df, column).select("text").mapInArrow(_surveyor(column), "path string").distinct())  # read twice below
     arrays = seen.filter(F.col("path").startswith("[")).select(F.expr("substring(path, 2)").alias("key"))
     lone = seen.filter(F.col("path").startswith("{")).select(F.expr("substring(path, 2)").alias("key"))
     return arrays.join(lone, "key", "left_semi")
