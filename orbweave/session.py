@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 
 def build_session(app: str = "orbweave", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
@@ -51,21 +52,27 @@ def fixed_plans(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(k, v)
 
 
-def cut(df: DataFrame, adaptive: bool = True) -> DataFrame:
+def cut(df: DataFrame, adaptive: bool = True, spread: bool = True) -> DataFrame:
     """Write df to the shared checkpoint folder and go on from there: survives lost executors, ends the lineage.
 
-    adaptive=False for the steps of an iteration whose join keys cannot be skewed.
+    adaptive=False for the steps of an iteration whose join keys cannot be skewed. Such a step is written as a table:
+    a checkpoint would hand on its plan's size estimate, and the product of two estimates a join grows to millions of
+    digits within some twenty rounds. spread=False keeps to a checkpoint, and with it the partitioning, where no joins follow.
     """
-    ensure_checkpoint_dir(df.sparkSession)
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
     if adaptive:
         return df.checkpoint(eager=True)
-    with fixed_plans(df.sparkSession):
-        # unions add up partitions from round to round
-        return df.coalesce(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))).checkpoint(eager=True)
+    with fixed_plans(spark):
+        if not spread:
+            return df.checkpoint(eager=True)
+        path = f"{spark.sparkContext.getCheckpointDir()}/orbweave-{uuid.uuid4().hex}"
+        df.coalesce(int(spark.conf.get("spark.sql.shuffle.partitions"))).write.parquet(path)  # unions add up partitions from round to round
+        return spark.read.schema(df.schema).parquet(path)
 
 
 def cut_and_count(df: DataFrame, adaptive: bool = True, **what: Column) -> tuple[DataFrame, dict]:
-    """cut, with aggregates of the rows taken while they are written: no job of their own."""
-    seen = Observation()
-    out = cut(df.observe(seen, *[c.alias(k) for k, c in what.items()]), adaptive)
-    return out, seen.get
+    """cut, and aggregates of the rows written: one small job over what was just written."""
+    out = cut(df, adaptive)
+    with fixed_plans(df.sparkSession):
+        return out, out.agg(*[c.alias(k) for k, c in what.items()]).first().asDict()
