@@ -27,14 +27,15 @@ def survivors(entities: DataFrame) -> DataFrame:
     e = entities.select(uuid_value(F.col("id")).alias("id"), uuid_value(F.col("merged_into_id")).alias("up"), F.col("merged_into_id").isNull().alias("top")).filter(F.col("id").isNotNull()).dropDuplicates(["id"])
     done = e.filter("top").select("id", F.col("id").alias("root"))
     open_ = cut(e.filter(~F.col("top") & F.col("up").isNotNull()).select("id", "up"))
-    rows, rounds = open_.count(), 0
-    while rows and (1 << rounds) <= 2 * rows:
+    rows, before = open_.count(), -1
+    # as long as a chain has an end some row finishes or drops out each round; if none does, only rings are left
+    while rows and rows != before:
         # whoever points to a finished row is finished; the rest points twice as far
         ended = open_.join(done.select(F.col("id").alias("up"), "root"), "up").select("id", "root")
         further = open_.select(F.col("id").alias("up"), F.col("up").alias("next"))
         left = open_.join(done.select(F.col("id").alias("up")), "up", "left_anti").join(further, "up").select("id", F.col("next").alias("up"))
         done, open_ = cut(done.unionByName(ended)), cut(left)
-        rows, rounds = open_.count(), rounds + 1
+        rows, before = open_.count(), rows
     return done
 
 

@@ -122,6 +122,16 @@ def test_survivors_and_values(spark):
     assert survivorship.present_values(e.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("steps", "alone"), [(4, True), (10, True), (4, False), (10, False), (600, False)])
+def test_survivors_of_long_chains(spark, steps, alone):
+    """One chain, alone or beside a ring and a chain into nothing."""
+    u = lambda i: f"00000000-0000-0000-0000-{i:012d}"
+    rows = [(u(i), u(i - 1) if i else None) for i in range(steps + 1)]
+    rows += [] if alone else [(u(1000 + i), u(1000 + (i + 1) % 3)) for i in range(3)] + [(u(2000), u(1000))] + [(u(3000 + i), u(3001 + i)) for i in range(9)]
+    got = [tuple(r) for r in survivorship.survivors(spark.createDataFrame(rows, "id string, merged_into_id string")).collect()]
+    assert sorted(got) == [(u(i), u(0)) for i in range(steps + 1)]
+
+
 # linkage
 VEN = "record_id bigint, feed string, vendor_name string, street string, city string, state string, cage_text string, duns_text string, founded_year int, loaded_at timestamp, org string"
 
