@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from orbweave.functions.ids import uuid_value
 from orbweave.functions.registry import duns
-from orbweave.llm.names import GIVEN, LEGAL, Name, Reader, likeness, plain
+from orbweave.llm.names import DBA, GIVEN, LEGAL, REMARKS, Name, Reader, likeness, plain
 from orbweave.session import cut, cut_and_count
 
 COSINE = 0.2
@@ -35,23 +35,41 @@ LIKENESS = {(0, "full"): 1.0, (0, "initials"): 0.9, (0, "subset"): 0.7, (1, "ful
 
 
 def describing_words(names: DataFrame) -> list[str]:
-    """Words of five letters and more that a share of all names holds, and that stand beside several rarer words.
+    """Words of five letters and more that a share of all distinct names holds, and that stand beside several rarer words.
 
-    The second condition matters for small tables only, where the coined word of one name may be frequent.
+    A slip or a short form of a frequent word is that word, not a rarer one, so one owner's slips are no company. A name
+    of nothing but frequent words has as its coined word the one with the fewest rarer words beside it: a word that is
+    mostly that is the coined word of a large owner. The condition of rarer words matters for small tables too, where the
+    coined word of one name may be frequent.
     """
 
     @F.pandas_udf("array<string>")
     def words(c: pd.Series) -> pd.Series:
         import re
 
-        return c.map(lambda n: sorted({w for w in re.findall(r"[a-z]{5,}", plain(n)) if w not in LEGAL and w not in GIVEN} if n else ()))
+        bare = lambda n: REMARKS.sub(" ", DBA.sub("", plain(n)))
+        return c.map(lambda n: sorted({w for w in re.findall(r"[a-z]{3,}", bare(n)) if w not in LEGAL and w not in GIVEN and w not in ("the", "and")} if n else ()))
 
-    rows = names.select(words("name").alias("words"))
-    total = names.count()
-    frequent = [r["word"] for r in rows.select(F.explode("words").alias("word")).groupBy("word").count().filter(F.col("count") >= max(3, WORD_SHARE * total)).collect()]
-    known = F.array(*[F.lit(w) for w in frequent]).cast("array<string>")
-    beside = rows.select(F.array_intersect("words", known).alias("w"), F.explode(F.array_except("words", known)).alias("rare")).select(F.explode("w").alias("word"), "rare").groupBy("word").agg(F.count_distinct("rare").alias("n"))
-    return sorted(r["word"] for r in beside.filter("n >= 3").collect())
+    rows = cut(names.select(words("name").alias("words")).groupBy("words").agg(F.count("*").alias("copies")))
+    total = rows.count()
+    frequent = [r["word"] for r in rows.select(F.explode("words").alias("word")).filter(F.length("word") >= 5).groupBy("word").count().filter(F.col("count") >= max(3, WORD_SHARE * total)).collect()]
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        reader = Reader(frequent)
+        for t in batches:
+            read = [{w: reader.word(w) for w in ws} for ws in t["words"]]
+            t["known"] = [sorted(set(r.values()) & reader.known) for r in read]
+            t["rare"] = [sorted(w for w, x in r.items() if x is None) for r in read]
+            yield t[["known", "rare", "copies"]]
+
+    parted = cut(rows.mapInPandas(split, "known array<string>, rare array<string>, copies long").groupBy("known", "rare").agg(F.sum("copies").alias("copies")))
+    each = parted.select(F.explode("known").alias("word"), "rare", "copies")
+    beside = {r["word"]: r["n"] for r in each.select("word", F.explode("rare").alias("rare")).groupBy("word").agg(F.count_distinct("rare").alias("n")).collect()}
+    company = F.create_map(*[F.lit(x) for w in frequent for x in (w, beside.get(w, 0))]) if frequent else F.lit(None).cast("map<string,int>")
+    coined = F.array_min(F.transform("known", lambda w: F.struct(company[w].alias("n"), w.alias("word"))))["word"]
+    lone = parted.filter(F.size("rare") == 0).groupBy(coined.alias("word")).agg(F.sum("copies").alias("lone"))
+    owners = {r["word"] for r in each.groupBy("word").agg(F.sum("copies").alias("rows")).join(lone, "word").filter("2 * lone >= rows").collect()}
+    return sorted(w for w, n in beside.items() if n >= 3 and w not in owners)
 
 
 def _key(n: Name) -> str:

@@ -98,6 +98,21 @@ def test_spelling_pairs(spark):
     assert spellings.spelling_groups(e.limit(0)).count() == 0
 
 
+def test_describing_words_beside_a_large_owner(spark):
+    """One owner whose describing words are often mistyped holds a third of the rows."""
+    rnd = random.Random(5)
+    others = ["".join(rnd.choice("bdfgklmnprstvz") + rnd.choice("aeiou") for _ in range(4)) for _ in range(200)]
+    words = "optics marine power software".split()
+    slip = lambda w: w[: (i := rnd.randint(1, len(w) - 1))] + rnd.choice("bdfgkmnvxz") + w[i + 1 :]
+    rows = [f"{c} Applied {rnd.choice(words)} Inc" for c in others] + [f"Brepofex {slip('applied') if i % 6 == 0 else 'Applied'} {slip('optics') if i % 6 == 3 else 'Optics'} LLC" for i in range(100)]
+    got = spellings.describing_words(spark.createDataFrame([(n,) for n in rows], "name string"))
+    assert got == sorted(["applied", *words])
+    ids = [(f"00000000-0000-0000-0000-{i:012d}", n) for i, n in enumerate(rows)]
+    e = spark.createDataFrame([(i, n, None, None, None, None) for i, n in ids], "id string, canonical_name string, name_variants array<string>, website_url string, duns_number string, founded_date date")
+    groups = {r["entity_id"]: r["group_id"] for r in spellings.spelling_groups(e).collect()}
+    assert len(groups) == len(ids) and len({groups[i] for i, n in ids if n.startswith("Brepofex")}) == 1
+
+
 def test_cosine_pairs_of_hot_features(spark):
     nodes = spark.createDataFrame([(f"{c}|applied optics|||",) for c in ("brepofex", "brepofax", "brepotex", "stekulon")], "node string")
     cold = {tuple(r) for r in spellings.cosine_pairs(nodes).collect()}
