@@ -3,8 +3,8 @@
 1. Every canonical name and variant is read (names.py); equal readings are one node, so copies never meet in pairs.
 2. A node's vector has the character trigrams of its coined part, each tied to the initials of the describing words (or to
    the given name), and the coined part whole. Weights are inverse document frequencies, vectors have length one. Nodes that
-   share a feature meet in a join on the feature, and their products are summed to the cosine. Features of very many nodes
-   are replaced by pairs of such features, so no list of nodes is long; what they find skips the cosine threshold.
+   share a feature meet in a join on the feature, and their products are summed to the cosine. A node's most frequent features
+   are left out of that join where they cannot reach the threshold by themselves; the lists of frequent ones are joined in parts.
 3. Pairs above the threshold are checked word by word (`likeness`); what differs in two letters also needs a shared
    website, number or founding date.
 4. Average linkage: clusters and their best neighbours join while the mean likeness of their pairs stays above a bound,
@@ -19,7 +19,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orbweave.functions.ids import uuid_value
@@ -30,7 +30,7 @@ from orbweave.session import cut, cut_and_count
 COSINE = 0.2
 MEAN_LIKENESS = 0.1
 WORD_SHARE = 0.004  # of the rows: a word that so many names share is a describing word (at most 1/share times the words of a name)
-HOT = 3000  # nodes; a feature of more is joined in pairs of features
+HOT = 3000  # nodes; the list of a feature of more is joined in parts
 LIKENESS = {(0, "full"): 1.0, (0, "initials"): 0.9, (0, "subset"): 0.7, (1, "full"): 0.85, (1, "initials"): 0.6, (2, "full"): 0.6}
 
 
@@ -117,22 +117,31 @@ def _features(nodes: DataFrame) -> DataFrame:
 
 
 def cosine_pairs(nodes: DataFrame, least: float = COSINE, hot: int = HOT) -> DataFrame:
-    """(a, b) of nodes whose vectors have at least that cosine, and of those that share two very frequent features."""
+    """(a, b) of nodes whose vectors have at least that cosine.
+
+    A node is listed under its features from the rarest on, until those left are together shorter than the bound: two nodes
+    that share none of the listed ones cannot reach it. What the listed ones leave open is settled over all features.
+    """
     postings = cut(_features(nodes))
     counts = postings.groupBy("feature").agg(F.count("*").alias("df"))
     total = nodes.agg(F.count("*").alias("nodes"))
     weighed = postings.join(counts, "feature").crossJoin(F.broadcast(total)).withColumn("w", F.log(1 + F.col("nodes") / F.col("df")))  # one row
     norms = weighed.groupBy("node").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    vectors = cut(weighed.join(norms, "node").select("node", "feature", "df", (F.col("w") / F.col("norm")).alias("w")))
-    rare = vectors.filter(F.col("df") <= hot).filter(F.col("df") > 1)
-    left, right = rare.select(F.col("node").alias("a"), "feature", F.col("w").alias("wa")), rare.select(F.col("node").alias("b"), "feature", F.col("w").alias("wb"))
-    near = left.join(right, "feature").filter("a < b").groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine")).filter(F.col("cosine") >= least).select("a", "b")
-    frequent = vectors.filter(F.col("df") > hot).select("node", "feature")
-    if frequent.isEmpty():
-        return near
-    two = frequent.join(frequent.select("node", F.col("feature").alias("other")), "node").filter("feature < other").select("node", F.concat_ws("&", "feature", "other").alias("feature"))
-    often = two.select(F.col("node").alias("a"), "feature").join(two.select(F.col("node").alias("b"), "feature"), "feature").filter("a < b").select("a", "b").distinct()
-    return near.unionByName(often).distinct()
+    vectors = weighed.join(norms, "node").select("node", "feature", "df", (F.col("w") / F.col("norm")).alias("w"))
+    onward = Window.partitionBy("node").orderBy(F.desc("df"), "feature").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    slack = 1e-9  # of rounding
+    vectors = vectors.withColumn("onward", F.sqrt(F.sum(F.col("w") * F.col("w")).over(onward))).withColumn("listed", F.col("onward") >= least - slack)
+    vectors = cut(vectors.withColumn("rest", F.coalesce(F.max(F.when(~F.col("listed"), F.col("onward"))).over(Window.partitionBy("node")), F.lit(0.0))).drop("onward"))
+    parts = F.ceil(F.col("df") / hot).cast("int")
+    listed = vectors.filter(F.col("listed") & (F.col("df") > 1))
+    left = listed.select(F.col("node").alias("a"), "feature", F.pmod(F.hash("node"), parts).alias("part"), F.col("w").alias("wa"), F.col("rest").alias("ra"))
+    right = listed.select(F.col("node").alias("b"), "feature", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.col("w").alias("wb"), F.col("rest").alias("rb"))
+    met = left.join(right, ["feature", "part"]).filter("a < b").groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine"), F.max(F.greatest("ra", "rb")).alias("rest"))
+    met = cut(met.filter(F.col("cosine") + F.col("rest") >= least - slack))
+    side = lambda x: vectors.select(F.col("node").alias(x), "feature", F.col("w").alias(f"w{x}"))
+    open_ = met.filter(F.col("cosine") < least).select("a", "b").join(side("a"), "a").join(side("b"), ["b", "feature"])
+    settled = open_.groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine")).filter(F.col("cosine") >= least)
+    return met.filter(F.col("cosine") >= least).select("a", "b").unionByName(settled.select("a", "b"))
 
 
 def _evidence(entities: DataFrame, own: DataFrame) -> DataFrame:

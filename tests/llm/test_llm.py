@@ -2,6 +2,7 @@
 
 import base64
 import datetime as dt
+import math
 import os
 import random
 
@@ -119,6 +120,23 @@ def test_cosine_pairs_of_hot_features(spark):
     assert cold and cold <= {tuple(r) for r in spellings.cosine_pairs(nodes, hot=1).collect()}
 
 
+@pytest.mark.parametrize("least", [0.05, 0.2, 0.6])
+def test_cosine_pairs_are_those_of_brute_force(spark, least):
+    rnd = random.Random(7)
+    keys = sorted({"".join(rnd.choice("abc") for _ in range(rnd.randint(2, 6))) + f"|{rnd.choice(['applied optics', 'applied power', 'optics'])}|||" for _ in range(90)})
+    nodes = spark.createDataFrame([(k,) for k in keys], "node string")
+    has, df = {}, {}
+    for r in spellings._features(nodes).collect():
+        has.setdefault(r["node"], set()).add(r["feature"])
+        df[r["feature"]] = df.get(r["feature"], 0) + 1
+    w = {f: math.log(1 + len(keys) / n) for f, n in df.items()}
+    norm = {k: math.sqrt(sum(w[f] ** 2 for f in x)) for k, x in has.items()}
+    want = {(a, b) for a in keys for b in keys if a < b and sum(w[f] ** 2 for f in has[a] & has[b]) / norm[a] / norm[b] >= least}
+    for hot in (4, 3000):
+        got = [tuple(r) for r in spellings.cosine_pairs(nodes, least, hot).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_average_linkage_breaks_single_links(spark):
     links = [(f"{g}{i}", f"{g}{j}", 1.0) for g in "ab" for i in range(6) for j in range(i)] + [("a0", "b0", 0.6)]
     got = dict(map(tuple, spellings.average_linkage(spark.createDataFrame(links, "a string, b string, s double")).collect()))
