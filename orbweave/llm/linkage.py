@@ -94,7 +94,7 @@ def candidates(entities: DataFrame, vendors: DataFrame) -> DataFrame:
     mine = theirs.select("node").distinct()
     among = near.join(mine.withColumnRenamed("node", "a"), "a", "left_semi").join(mine.withColumnRenamed("node", "b"), "b", "left_semi").select("a", "b")
     alias = own.join(theirs.filter(~(F.col("own") & (F.col("place") == 0))).select("id", F.col("node").alias("other")), "id").filter("node <> other").select(F.col("node").alias("a"), F.col("other").alias("b"), F.lit(1.0).alias("s")).distinct()
-    clusters = spellings.average_linkage(cut(spellings._checked(among, spellings._evidence(live, own)).unionByName(alias)))
+    clusters = spellings.average_linkage(cut(spellings._checked(among, spellings._evidence(live, rows)).unionByName(alias)))
     groups = own.join(clusters, "node", "left").select(F.col("id").alias("e"), F.coalesce("cluster", "node").alias("org")).dropDuplicates(["e"])
     # names
     both = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -144,39 +144,36 @@ def cosine_pairs(nodes: DataFrame, least: float = COSINE, hot: int = HOT) -> Dat
     return met.filter(F.col("cosine") >= least).select("a", "b").unionByName(settled.select("a", "b"))
 
 
-def _evidence(entities: DataFrame, own: DataFrame) -> DataFrame:
-    """Of each node the first and last website, number and founding date of its rows."""
+def _evidence(entities: DataFrame, rows: DataFrame) -> DataFrame:
+    """(node, kind, value): each website, number and founding date of the rows (id, node) that carry the node."""
     e = entities.select(uuid_value(F.col("id")).alias("id"), F.lower(F.trim("website_url")).alias("web"), duns(F.col("duns_number")).alias("number"), F.col("founded_date").cast("string").alias("founded"))
-    parts = [f(c).alias(f"{c}{i}") for c in ("web", "number", "founded") for i, f in ((0, F.min), (1, F.max))]
-    return own.join(e, "id").groupBy("node").agg(*parts)
+    kinds = F.array(*[F.struct(F.lit(c).alias("kind"), F.col(c).alias("value")) for c in ("web", "number", "founded")])
+    said = e.select("id", F.explode(kinds).alias("x")).select("id", "x.kind", "x.value").filter(F.col("value") != "")
+    return rows.select("id", "node").distinct().join(said, "id").select("node", "kind", "value").distinct()
 
 
 def _checked(pairs: DataFrame, evidence: DataFrame) -> DataFrame:
-    """(a, b, s): pairs of nodes that can be one name, with their likeness."""
-    cols = [f"{c}{i}" for c in ("web", "number", "founded") for i in (0, 1)]
-    side = lambda x: evidence.select(F.col("node").alias(x), F.array(*cols).alias(f"e{x}"))
-    both = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    """(a, b, s): pairs of nodes that can be one name, with their likeness.
+
+    Pairs with slips are held against the evidence: with two they need a value in common; with one they fail if both have
+    websites or numbers and no value of any kind is in common.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for t in batches:
-            out = []
-            for a, b, ea, eb in zip(t["a"], t["b"], t["ea"], t["eb"], strict=True):
-                like = likeness(_name(a), _name(b))
-                if like is None or like not in LIKENESS:
-                    continue
-                if like[0]:
-                    shared = against = 0
-                    for i in (0, 2, 4):
-                        x = {v for v in ea[i : i + 2] if v} if ea is not None else set()
-                        y = {v for v in eb[i : i + 2] if v} if eb is not None else set()
-                        shared += bool(x & y)
-                        against += bool(x and y and not x & y and i < 4)
-                    if like[0] == 2 and not shared or against and not shared:
-                        continue
-                out.append((a, b, LIKENESS[like]))
-            yield pd.DataFrame(out, columns=["a", "b", "s"])
-
-    return both.mapInPandas(run, "a string, b string, s double")
+            like = [(a, b, likeness(_name(a), _name(b))) for a, b in zip(t["a"], t["b"], strict=True)]
+            yield pd.DataFrame([(a, b, LIKENESS[x], x[0]) for a, b, x in like if x in LIKENESS], columns=["a", "b", "s", "slips"])
+
+    alike = cut(pairs.mapInPandas(run, "a string, b string, s double, slips int"))
+    evidence = cut(evidence)
+    side = lambda df, x: df.withColumnRenamed("node", x)
+    slipped = alike.filter("slips > 0").select("a", "b")
+    shared = cut(slipped.join(side(evidence, "a"), "a").join(side(evidence, "b"), ["b", "kind", "value"]).select("a", "b").distinct())
+    telling = evidence.filter(F.col("kind") != "founded").select("node", "kind").distinct()
+    against = slipped.join(side(telling, "a"), "a").join(side(telling, "b"), ["b", "kind"]).select("a", "b").distinct()
+    bare = alike.filter("slips = 1").join(shared, ["a", "b"], "left_anti").join(against, ["a", "b"], "left_anti")
+    kept = alike.filter("slips > 0").join(shared, ["a", "b"], "left_semi")
+    return alike.filter("slips = 0").unionByName(bare).unionByName(kept).select("a", "b", "s")
 
 
 def average_linkage(links: DataFrame, least: float = MEAN_LIKENESS) -> DataFrame:
@@ -221,7 +218,7 @@ def spelling_groups(entities: DataFrame) -> DataFrame:
     rows = cut(names.join(read, "name").select("id", "own", "place", "node"))
     own = rows.filter(F.col("own") & (F.col("place") == 0)).select("id", "node").distinct()
     nodes = rows.filter(tells).select("node").distinct()
-    links = _checked(cut(cosine_pairs(nodes)), _evidence(entities, own))
+    links = _checked(cosine_pairs(nodes), _evidence(entities, rows))
     alias = own.join(rows.filter(~(F.col("own") & (F.col("place") == 0)) & tells).select("id", F.col("node").alias("other")), "id").filter("node <> other").select(F.col("node").alias("a"), F.col("other").alias("b"), F.lit(1.0).alias("s")).distinct()
     clusters = average_linkage(cut(links.unionByName(alias)))
     return own.join(clusters, "node", "left").select(F.col("id").alias("entity_id"), F.coalesce("cluster", "node").alias("group_id"))

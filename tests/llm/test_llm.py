@@ -137,6 +137,19 @@ def test_cosine_pairs_are_those_of_brute_force(spark, least):
         assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_evidence_of_many_values(spark):
+    """Nodes of three values each; the one in common is neither the first nor the last."""
+    n = lambda c: f"{c}|marine power|||"
+    webs = {"zutamontel": "amz", "zutabontol": "bmy", "vogomartel": "acz", "vogobartol": "bmy", "stekulonar": "amz", "stekulanar": "bmy", "plavidexor": "acz", "plavidixor": "bmy"}
+    rows = [(f"{i:032d}", n(c), w) for i, (c, w) in enumerate((c, w) for c, x in webs.items() for w in x)]
+    e = spark.createDataFrame(rows, "id string, node string, website_url string").selectExpr("*", "cast(null as string) AS duns_number", "cast(null as date) AS founded_date")
+    own = e.selectExpr("concat_ws('-', substr(id, 1, 8), substr(id, 9, 4), substr(id, 13, 4), substr(id, 17, 4), substr(id, 21)) AS id", "node")
+    names_ = list(webs)
+    pairs = spark.createDataFrame([(n(names_[i]), n(names_[i + 1])) for i in range(0, 8, 2)], "a string, b string")
+    got = {r["a"] for r in spellings._checked(pairs, spellings._evidence(e.drop("node"), own)).collect()}
+    assert got == {n("zutamontel"), n("stekulonar")}
+
+
 def test_average_linkage_breaks_single_links(spark):
     links = [(f"{g}{i}", f"{g}{j}", 1.0) for g in "ab" for i in range(6) for j in range(i)] + [("a0", "b0", 0.6)]
     got = dict(map(tuple, spellings.average_linkage(spark.createDataFrame(links, "a string, b string, s double")).collect()))
