@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orbweave.session import cut
+
 # The two-letter codes of the states and their names.
 STATES = {
     "AL": "Alabama", "AK": "Alaska", "AZ": "Arizona", "AR": "Arkansas", "CA": "California", "CO": "Colorado", "CT": "Connecticut", "DE": "Delaware", "DC": "District of Columbia", "FL": "Florida",
@@ -71,10 +73,21 @@ def place(c: Column) -> Column:
     return F.get(let(t, read), F.lit(0))
 
 
-def gazetteer(places: DataFrame, share: float = 2e-4) -> DataFrame:
-    """(city, state) met in at least three rows and a share of all rows: the places that exist. Places do not grow with the rows."""
-    total = places.agg(F.count("city").alias("rows"))
-    return places.filter(F.col("city").isNotNull() & F.col("state").isNotNull() & ~F.col("city").rlike(r"^\w\.")).groupBy("city", "state").agg(F.count("*").alias("n")).crossJoin(F.broadcast(total)).filter(F.col("n") >= F.greatest(F.lit(3.0), F.col("rows") * share)).select("city", "state", "n")
+def gazetteer(places: DataFrame, least: int = 3, ratio: int = 50) -> DataFrame:
+    """(city, state, n): the places that exist, by the rows that name them.
+
+    A spelling is a place if `least` rows have it, unless one within two letters of it in the same state has `ratio` times
+    as many: slips of a large place recur too, as tables grow. Neither number depends on the size of the table.
+    """
+    named = places.filter(F.col("city").isNotNull() & F.col("state").isNotNull() & ~F.col("city").rlike(r"^\w\."))
+    known = cut(named.groupBy("city", "state").agg(F.count("*").alias("n")).filter(F.col("n") >= least))
+    large = known.filter(F.col("n") >= least * ratio).select("state", F.col("city").alias("big"), F.col("n").alias("many"))
+    slips = known.join(large, "state").filter((F.col("many") >= ratio * F.col("n")) & (F.levenshtein(_letters("city"), _letters("big"), 2) >= 0)).select("city", "state").distinct()
+    return known.join(slips, ["city", "state"], "left_anti")
+
+
+def _letters(c: str) -> Column:
+    return F.regexp_replace(F.lower(c), r"[^a-z]", "")
 
 
 def corrected(places: DataFrame, known: DataFrame) -> DataFrame:
@@ -85,7 +98,6 @@ def corrected(places: DataFrame, known: DataFrame) -> DataFrame:
     odd = places.filter(F.col("city").isNotNull() & F.col("state").isNotNull()).select("city", "state").distinct().join(known.select("city", "state"), ["city", "state"], "left_anti")
     k = known.select("state", F.col("city").alias("fixed"), "n")
     short = F.col("city").rlike(r"^\w\. ") & (F.substring("city", 1, 1) == F.substring("fixed", 1, 1)) & (F.regexp_extract("city", r"^\w\. (.*)$", 1) == F.regexp_extract("fixed", r"^\S+ (.*)$", 1))
-    squash = lambda c: F.regexp_replace(F.lower(c), r"[^a-z]", "")
-    far = F.when(short, F.lit(0)).otherwise(F.levenshtein(squash("city"), squash("fixed"), 2))
+    far = F.when(short, F.lit(0)).otherwise(F.levenshtein(_letters("city"), _letters("fixed"), 2))
     near = odd.join(k, "state").withColumn("far", far).filter(short | ((F.col("far") >= 0) & ~F.col("city").rlike(r"^\w\. ")))
     return near.groupBy("city", "state").agg(F.min_by("fixed", F.struct(F.col("far"), -F.col("n"), F.col("fixed"))).alias("fixed"))

@@ -1,13 +1,11 @@
-"""Session settings and the one way lineage is cut."""
+"""Session settings and the two ways lineage is cut: a checkpoint, and the written steps of an iteration."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def build_session(app: str = "orbweave", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
@@ -34,45 +32,66 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """Write df to the shared checkpoint folder and go on from there: survives lost executors, ends the lineage."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 #: Settings for the steps of an iteration: no query stages of their own, and no constraints inherited from step to step,
 #: which double with every renamed column until the driver runs out of memory.
 STEP_SETTINGS = {"spark.sql.adaptive.enabled": "false", "spark.sql.constraintPropagation.enabled": "false"}
 
 
-@contextmanager
-def fixed_plans(spark: SparkSession) -> Iterator[None]:
-    """Plan the steps of an iteration plainly; the session's own settings hold again afterwards."""
-    before = {k: spark.conf.get(k) for k in STEP_SETTINGS}
-    for k, v in STEP_SETTINGS.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.set(k, v)
-
+class Steps:
+    """The steps of an iteration, written as tables into the shared checkpoint folder.
 
-def cut(df: DataFrame, adaptive: bool = True, spread: bool = True) -> DataFrame:
-    """Write df to the shared checkpoint folder and go on from there: survives lost executors, ends the lineage.
-
-    adaptive=False for the steps of an iteration whose join keys cannot be skewed. Such a step is written as a table:
-    a checkpoint would hand on its plan's size estimate, and the product of two estimates a join grows to millions of
-    digits within some twenty rounds. spread=False keeps to a checkpoint, and with it the partitioning, where no joins follow.
+    Tables, as a checkpoint would hand on its plan's size estimate, and the product of two estimates a join grows to millions of
+    digits within some twenty rounds. Steps are planned in a session of their own, so the caller's settings are never
+    touched; `take` brings a frame in, `give` hands one back. A step is deleted by `drop` once its successors are written.
     """
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    if adaptive:
-        return df.checkpoint(eager=True)
-    with fixed_plans(spark):
-        if not spread:
-            return df.checkpoint(eager=True)
-        path = f"{spark.sparkContext.getCheckpointDir()}/orbweave-{uuid.uuid4().hex}"
-        df.coalesce(int(spark.conf.get("spark.sql.shuffle.partitions"))).write.parquet(path)  # unions add up partitions from round to round
-        return spark.read.schema(df.schema).parquet(path)
-
-
-def cut_and_count(df: DataFrame, adaptive: bool = True, **what: Column) -> tuple[DataFrame, dict]:
-    """cut, and aggregates of the rows written: one small job over what was just written."""
-    out = cut(df, adaptive)
-    with fixed_plans(df.sparkSession):
-        return out, out.agg(*[c.alias(k) for k, c in what.items()]).first().asDict()
+
+    def __init__(self, spark: SparkSession):
+        ensure_checkpoint_dir(spark)
+        self.caller = spark
+        self.spark = spark.newSession()
+        for k in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone", "spark.sql.execution.arrow.maxRecordsPerBatch"):
+            self.spark.conf.set(k, spark.conf.get(k))
+        for k, v in STEP_SETTINGS.items():
+            self.spark.conf.set(k, v)
+        self.partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.written: dict[int, tuple[DataFrame, str]] = {}
+
+    def _save(self, df: DataFrame, reader: SparkSession) -> tuple[DataFrame, str]:
+        path = f"{self.spark.sparkContext.getCheckpointDir()}/orbweave-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return reader.read.schema(df.schema).parquet(path), path
+
+    def take(self, df: DataFrame) -> DataFrame:
+        """A frame of the caller as a step."""
+        out, path = self._save(df, self.spark)
+        self.written[id(out)] = (out, path)
+        return out
+
+    def write(self, df: DataFrame, **what: Column) -> tuple[DataFrame, dict]:
+        """A step and aggregates of its rows, gathered while they are written; each row of it is counted once."""
+        df = df.coalesce(self.partitions)  # a step comes out of a shuffle; unions add up partitions from round to round
+        seen = Observation()
+        if what:
+            df = df.observe(seen, *[c.alias(k) for k, c in what.items()])
+        out, path = self._save(df, self.spark)
+        self.written[id(out)] = (out, path)
+        return out, seen.get if what else {}
+
+    def drop(self, *steps: DataFrame) -> None:
+        """Delete steps that nothing will read again."""
+        jvm, conf = self.spark._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        for df in steps:
+            _, path = self.written.pop(id(df), (None, None))
+            if path:
+                folder = jvm.org.apache.hadoop.fs.Path(path)
+                folder.getFileSystem(conf).delete(folder, True)
+
+    def give(self, df: DataFrame) -> DataFrame:
+        """A frame of the iteration, back in the caller's session."""
+        return self._save(df, self.caller)[0]
