@@ -2,12 +2,13 @@
 
 A batch of JSON texts is one byte array. Bitmaps of quotes, brackets and delimiters are made for the whole batch at
 once; a running parity of unescaped quotes tells what lies inside strings; prefix sums over brackets give the depth of
-every token; the opener last seen at a depth is the parent. From parents and counted commas come the spans, the paths
-and the positions. The same arrays hold the grammar check, so a text that is no valid JSON gives nothing.
+every token; the opener last seen at a depth is the parent, and the token that closes it ends its span. From parents and
+counted commas come the paths and the positions. The same arrays hold the grammar check, so a text that is no valid JSON gives nothing.
 
 Rules (see also `flatten`): positions count from 0 and count nulls; a string that holds a JSON object or array is read as
 that; a lone object under a key that elsewhere in the column holds an array is element 0. Null and empty payloads give
 no rows, and a row without id gives none. A key given twice in one object is kept twice (equal paths then count once).
+No depth is too great for the index; there is no recursion but over strings within strings.
 """
 
 from __future__ import annotations
@@ -27,7 +28,8 @@ from orbweave.session import cut
 #: More paths than this, and the paths that hold both arrays and lone objects are joined instead of sent to the tasks.
 PATHS_SENT = 20_000
 LONE = "\x01"
-_WITHIN = re.compile(r'"\s*[\[{]')
+_STRING = re.compile(r'("(?:[^"\\]|\\.)*")(\s*:)?', re.S)
+_STARTS = re.compile(r'"(?:\s|\\[nrt])*[\[{]')
 _OBJ, _END_OBJ, _ARR, _END_ARR, _COLON, _COMMA, _QUOTE, _WORD = range(1, 9)
 _STRUCTURAL = np.zeros(256, np.uint8)
 for _c, _k in zip(b"{}[]:,", (_OBJ, _END_OBJ, _ARR, _END_ARR, _COLON, _COMMA), strict=True):
@@ -39,29 +41,40 @@ _HEX[list(b"0123456789abcdefABCDEF")] = True
 _WORDY = np.ones(256, np.uint8)
 _WORDY[list(b'{}[]:," \t\r\n')] = 0
 _OPENS = np.zeros(256, bool)
-_OPENS[list(b"{[ \t\r\n")] = True
+_OPENS[list(b"{[ \\\t\r\n")] = True
 _STEP = np.array([0, 1, -1, 1, -1, 0, 0, 0, 0], np.int64)
 _ESCAPED = np.zeros(256, bool)
 _ESCAPED[list(b'"\\/bfnrtu')] = True
 
 
 def unwrap(text: str) -> str:
-    """The text with every string that holds a JSON object or array replaced by that value."""
-
-    def within(v):
-        if isinstance(v, str) and v.lstrip()[:1] in ("{", "["):
-            try:
-                return within(json.loads(v))
-            except (ValueError, RecursionError):
-                return v
-        if isinstance(v, dict):
-            return {k: within(x) for k, x in v.items()}
-        return [within(x) for x in v] if isinstance(v, list) else v
+    """The text with every string value that holds a JSON object or array replaced by that value; keys stay as they are."""
 
+    def within(m: re.Match) -> str:
+        raw = m.group(1)
+        if m.group(2) or not _STARTS.match(raw):  # a key, or plain text
+            return m.group()
+        try:
+            inner = json.loads(raw, strict=True).strip(" \t\r\n")
+        except ValueError:
+            return m.group()
+        return unwrap(inner) if inner[:1] in ("{", "[") and _valid(inner) else m.group()
+
+    return _STRING.sub(within, text)
+
+
+def _refuse(constant: str) -> None:
+    raise ValueError(constant)  # NaN and Infinity are no JSON
+
+
+def _valid(text: str) -> bool:
     try:
-        return json.dumps(within(json.loads(text, strict=True)), ensure_ascii=False)
-    except (ValueError, RecursionError):
-        return text
+        json.loads(text, parse_constant=_refuse)
+    except ValueError:
+        return False
+    except RecursionError:  # too deep for that parser only
+        return bool(Index(*_lines(pa.array([text], pa.string()))).ok[0])
+    return True
 
 
 def _words_valid(b: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
@@ -190,6 +203,14 @@ class Index:
         seen[rec] = True
         self.pos, self.kind, self.rec, self.parent, self.place, self.up, self.ok = pos, kind, rec, parent, place, up, ok & seen
 
+    def spans(self, tokens: np.ndarray) -> list[str]:
+        """The text of each of these containers, from the bracket that opens it to the one that closes it."""
+        closers = np.flatnonzero((self.kind == _END_OBJ) | (self.kind == _END_ARR))
+        end = np.zeros(len(self.pos), np.int64)
+        end[self.parent[closers]] = self.pos[closers] + 1
+        raw = self.b.tobytes()
+        return [raw[x:y].decode("utf-8", "replace") for x, y in zip(self.pos[tokens].tolist(), end[tokens].tolist(), strict=True)]
+
     def keys(self, tokens: np.ndarray) -> list[bytes]:
         """The raw key of each of these values in an object: the string two tokens before the value."""
         s = self.pos[tokens - 2]
@@ -231,14 +252,14 @@ def survey_paths(ix: Index, column: str) -> set[str]:
     return {("{" if is_obj else "[") + names[g] for is_obj, g in found}
 
 
-def index_rows(ix: Index, column: str, both: frozenset | None) -> tuple[list[int], list[str]]:
-    """Record and path of every object that is an array element; a lone object under a key path in `both` is element 0.
+def index_rows(ix: Index, column: str, both: frozenset | None) -> tuple[list[int], list[str], list[int]]:
+    """Record, path and token of every object that is an array element; a lone object under a key path in `both` is element 0.
 
     With both=None the question stays open: a lone object's step is marked with LONE and its row is given as well.
     """
     paths: dict[int, tuple[str, str]] = {}
     names: dict[bytes, str] = {}
-    recs, out = [], []
+    recs, out, tokens = [], [], []
     for t, is_obj, up, where, place, r, key in _openers(ix):  # in order: parents first
         row = False
         if up < 0:
@@ -260,7 +281,8 @@ def index_rows(ix: Index, column: str, both: frozenset | None) -> tuple[list[int
         if row:
             recs.append(r)
             out.append(path)
-    return recs, out
+            tokens.append(t)
+    return recs, out, tokens
 
 
 def _lines(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -275,7 +297,7 @@ def _indexed(texts: pa.Array) -> Index:
     """The index of a batch; the few payloads that hold JSON inside strings are rewritten before."""
     data, off = _lines(texts)
     open_ = np.flatnonzero((data[:-1] == 34) & _OPENS[data[1:]])
-    rows = [int(r) for r in np.unique(np.searchsorted(off, open_, "right") - 1) if _WITHIN.search(texts[int(r)].as_py())]
+    rows = [int(r) for r in np.unique(np.searchsorted(off, open_, "right") - 1) if _STARTS.search(texts[int(r)].as_py())]
     if rows:
         mask = np.zeros(len(texts), bool)
         mask[rows] = True
@@ -297,12 +319,15 @@ def _surveyor(column: str):
     return run
 
 
-def _flattener(column: str, both: frozenset | None):
+def _flattener(column: str, both: frozenset | None, spans: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                rec, path = index_rows(_indexed(batch.column(1)), column, both)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rec, pa.int64())).cast(pa.string()), pa.array(path, pa.string())], ["id", "path"])
+                ix = _indexed(batch.column(1))
+                rec, path, tokens = index_rows(ix, column, both)
+                ids = batch.column(0).take(pa.array(rec, pa.int64())).cast(pa.string())
+                more = [pa.array(ix.spans(np.array(tokens, np.int64)), pa.string())] if spans else []
+                yield pa.RecordBatch.from_arrays([ids, pa.array(path, pa.string()), *more], ["id", "path", *["object"][: len(more)]])
 
     return run
 
@@ -331,25 +356,42 @@ def _resolve_by_join(rows: DataFrame, both: DataFrame, column: str) -> DataFrame
     built = F.aggregate(F.sequence(F.lit(1), n), F.lit(""), lambda acc, i: F.concat(acc, F.element_at(steps, i), F.when((i < n) & F.array_contains(F.col("hits"), F.element_at(F.col("lone"), F.least(i, n - 1))), F.lit("[0]")).otherwise(F.lit(""))))
     ends_lone = F.col("path").endswith(LONE)
     solved = solved.filter(~ends_lone | F.array_contains(F.col("hits"), F.element_at(F.col("lone"), -1)))
-    return plain.select("id", "path").unionByName(solved.select("id", built.alias("path")))
+    more = [c for c in rows.columns if c not in ("id", "path")]
+    return plain.select("id", "path", *more).unionByName(solved.select("id", built.alias("path"), *more))
 
 
-def flatten(df: DataFrame, column: str, paths_sent: int = PATHS_SENT) -> DataFrame:
-    """(id, path) of every object that is an element of an array at any depth in a JSON text column.
+def flatten(df: DataFrame, column: str, paths_sent: int = PATHS_SENT, spans: bool = False) -> DataFrame:
+    """(id, path) of every object that is an element of an array at any depth in a JSON text column; with spans also its text.
 
     The first pass learns which key paths are mixed; their number is counted, and only up to `paths_sent` they go to the
-    tasks. Beyond that the paths are resolved by a join. Repeated deliveries of an id count once.
+    tasks. Beyond that the paths are resolved by a join. Repeated deliveries of an id count once; if their objects under
+    one path differ, the last one by text is given.
     """
     both = mixed_paths(df, column)
     few = both.limit(paths_sent + 1).collect()  # key paths, not rows: their number is checked
+    schema = "id string, path string" + (", object string" if spans else "")
     if len(few) <= paths_sent:
-        rows = _payloads(df, column).mapInArrow(_flattener(column, frozenset(r["key"] for r in few)), "id string, path string")
+        rows = _payloads(df, column).mapInArrow(_flattener(column, frozenset(r["key"] for r in few), spans), schema)
     else:
-        rows = _resolve_by_join(_payloads(df, column).mapInArrow(_flattener(column, None), "id string, path string"), both, column)
-    return rows.distinct()
+        rows = _resolve_by_join(_payloads(df, column).mapInArrow(_flattener(column, None, spans), schema), both, column)
+    return rows.groupBy("id", "path").agg(F.max("object").alias("object")) if spans else rows.distinct()
+
+
+def linked(rows: DataFrame) -> DataFrame:
+    """rows (id, path, object) as child rows: parent_path (null at the top), list_name, place, and the object's own fields.
+
+    fields maps each key of the object to its value as text, strings without quotes and lists and objects as JSON; a key
+    given twice has its last value.
+    """
+    up = F.regexp_extract("path", r"^(.*\])[^\]]*\[\d+\]$", 1)
+    return rows.select(
+        "id", "path", F.when(up != "", up).alias("parent_path"), F.regexp_extract("path", r"([^.\[\]]+)(?:\[\d+\])+$", 1).alias("list_name"),
+        F.regexp_extract("path", r"\[(\d+)\]$", 1).cast("int").alias("place"), F.from_json("object", "map<string,string>").alias("fields"),
+    )
 
 
-def list_elements(df: DataFrame, column: str) -> DataFrame:
-    """(id, path) of every non-blank element of a list column; positions count nulls and blanks."""
+def list_elements(df: DataFrame, column: str, names: bool = False) -> DataFrame:
+    """(id, path) of every non-blank element of a list column, with names also the element; positions count nulls and blanks."""
     e = df.filter(F.col("id").isNotNull()).select("id", F.posexplode(column).alias("place", "name"))
-    return e.filter(F.col("name").rlike(r"[^\s ​﻿]")).select("id", F.concat(F.lit(f"{column}["), F.col("place").cast("string"), F.lit("]")).alias("path")).distinct()
+    rows = e.filter(F.col("name").rlike(r"[^\s ​﻿]")).select("id", F.concat(F.lit(f"{column}["), F.col("place").cast("string"), F.lit("]")).alias("path"), "name")
+    return rows.groupBy("id", "path").agg(F.max("name").alias("name")) if names else rows.select("id", "path").distinct()

@@ -44,9 +44,15 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_children(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of p7_found linked: the parent row's path (null at the top), the name of the list, the place in it."""
-    up = F.regexp_extract("path", r"^(.*\])[^\]]*\[\d+\]$", 1)
-    return p7_found(spark, sf_dir).select("table_name", "id", "path", F.when(up != "", up).alias("parent_path"), F.regexp_extract("path", r"([^.\[\]]+)(?:\[\d+\])+$", 1).alias("list_name"), F.regexp_extract("path", r"\[(\d+)\]$", 1).cast("int").alias("place"))
+    """The rows of p7_found as child rows: parent's path (null at the top), name of the list, place in it, own fields."""
+    f, s = table(spark, sf_dir, "funding_events"), table(spark, sf_dir, "signals")
+    names = nested.list_elements(f, "investors_awarders", names=True).select("id", "path", F.to_json(F.struct("name")).alias("object"))
+    parts = [("funding_events", nested.flatten(f, "raw_data", spans=True)), ("funding_events", names), ("signals", nested.flatten(s, "evidence", spans=True))]
+    out = None
+    for name, rows in parts:
+        part = nested.linked(rows).select(F.lit(name).alias("table_name"), "*")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def queries() -> dict:
