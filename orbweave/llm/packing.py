@@ -2,18 +2,22 @@
 
 Items are spread over blocks of bounded size by a hash of their id, so no task ever holds more than a block and equal
 input gives equal containers. Each block is packed by bin completion: the largest open item is placed, the undominated
-fillings around it are tried in order of waste, and branches whose waste shows that they cannot beat the incumbent are
-cut; best-fit decreasing gives the first incumbent. What a block leaves in containers that are not nearly full is
-dissolved and packed again in fewer blocks, until one block is left, so the unused room does not grow with the number of
-blocks.
-
-An item longer than the capacity fills whole containers of its own; its rest is an item like others. Null and empty
-texts, and texts of zero tokens, are in no container. Documents with one id given twice are two items.
+fillings around it are tried in order of waste, one after another as they are needed, and branches whose waste shows that
+they cannot beat the incumbent are cut; best-fit decreasing gives the first incumbent. What a block leaves in containers
+that are not nearly full is dissolved and packed again in fewer blocks, as long as fewer blocks come out, so the room lost
+to the division into blocks does not grow with them.
+
+The only bound on the search is STEPS, the sizes that a block's search may look at. Where a branch is given up, and where
+the steps run out, what is placed so far is completed by best fit and becomes the incumbent if it is better; past that the
+best packing found so far holds. An item longer than the capacity fills whole containers of its own; its rest is an item like others. Null and
+empty texts, and texts of zero tokens, are in no container. Documents with one id given twice are two items.
 """
 
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -24,8 +28,8 @@ from orbweave.session import cut
 
 CAPACITY = 2048
 BLOCK_ITEMS = 4000
-#: Search nodes a block may spend; the best packing found so far holds beyond it.
-NODES = 2000
+#: Sizes that the search of a block may look at (a second or so); the best packing found so far holds beyond it.
+STEPS = 1_000_000
 NEARLY_FULL = 0.995
 
 
@@ -53,9 +57,9 @@ def best_fit(sizes: list[int], cap: int) -> list[list[int]]:
 
 
 def lower_bound(sizes: list[int], cap: int) -> int:
-    """No packing has fewer bins: total size, and for each k the items that cannot share a bin with one above cap-k."""
-    best = math.ceil(sum(sizes) / cap)
+    """No packing has fewer bins: total size, items over half a bin, and for each k the items that cannot share a bin with one above cap-k."""
     a = np.array(sizes)
+    best = max(math.ceil(sum(sizes) / cap), int((2 * a > cap).sum()))
     for k in sorted({s for s in sizes if s <= cap // 2}):
         big, mid = a[a > cap - k], a[(a > cap // 2) & (a <= cap - k)]
         small = int(a[(a >= k) & (a <= cap // 2)].sum())
@@ -64,81 +68,119 @@ def lower_bound(sizes: list[int], cap: int) -> int:
     return best
 
 
-def fillings(first: int, left: dict[int, int], cap: int, most: int = 12) -> list[list[int]]:
-    """Undominated fillings around an item: those to which no left size can be added, least waste first.
+class Fillings:
+    """Undominated fillings of a room from sizes that are left, by waste, each found when it is asked for.
 
-    A filling is dominated if one of its sizes can be exchanged for a larger left size that still fits.
+    A filling is dominated if one of its sizes can be exchanged for a larger left size that still fits. Which sums the
+    smaller sizes can make at all is worked out once for all the items of a block.
     """
-    sizes = sorted((s for s, n in left.items() if n > 0 and s <= cap - first), reverse=True)
-    out: list[tuple[int, list[int]]] = []
-    seen = 0
 
-    def grow(at: int, room: int, have: list[int], used: dict[int, int]) -> None:
-        nonlocal seen
-        if len(out) >= most or seen > 400:
+    def __init__(self, count: dict[int, int], cap: int, steps: int):
+        self.steps = steps
+        self.sizes = sorted(count, reverse=True)
+        rising = self.sizes[::-1]
+        self.first = [len(rising) - bisect_right(rising, t) for t in range(cap + 1)]  # place of the largest size up to t
+        self.rank = {s: i for i, s in enumerate(self.sizes)}
+        full = (1 << (cap + 1)) - 1
+        sums = [1]  # bit t of sums[-1 - i]: t is a sum of items of sizes[i:]
+        for s in reversed(self.sizes):
+            reach, n, k = sums[-1], min(count[s], cap // s), 1
+            while n:
+                step = min(k, n)
+                reach |= (reach << (step * s)) & full
+                n, k = n - step, k * 2
+            sums.append(reach)
+        self.sums = sums[::-1]
+
+    def _exact(self, at: int, target: int, left: dict[int, int]) -> Iterator[list[int]]:
+        """Multisets of left sizes from place `at` on whose sum is the target."""
+        if not target:
+            yield []
             return
-        seen += 1
-        grown = False
-        for i in range(at, len(sizes)):
-            s = sizes[i]
-            if s <= room and used.get(s, 0) < left[s]:
-                grown = True
-                used[s] = used.get(s, 0) + 1
-                grow(i, room - s, [*have, s], used)
-                used[s] -= 1
-                if len(out) >= most or room - s == 0:
-                    return
-        if not grown and not any(s <= room and used.get(s, 0) < left[s] for s in sizes):
-            better = any(h < s <= h + room and used.get(s, 0) < left[s] for h in set(have) for s in sizes)
-            if not better:
-                out.append((room, have))
-
-    grow(0, cap - first, [], {})
-    return [have for _, have in sorted(out, key=lambda x: (x[0], len(x[1])))] or [[]]
-
-
-def pack(sizes: list[int], cap: int, nodes: int = NODES) -> list[list[int]]:
+        for i in range(max(at, self.first[target]), len(self.sizes)):
+            self.steps -= 1
+            if self.steps < 0 or not self.sums[i] >> target & 1:
+                return  # neither these sizes nor smaller ones make the target
+            s = self.sizes[i]
+            if left[s] > 0 and self.sums[i] >> (target - s) & 1:
+                left[s] -= 1
+                try:
+                    for more in self._exact(i, target - s, left):
+                        yield [s, *more]
+                finally:
+                    left[s] += 1
+
+    def around(self, room: int, left: dict[int, int], most_waste: int) -> Iterator[list[int]]:
+        """Fillings of the room that waste at most that much; `left` is changed while one is sought and whole when it is given."""
+        for waste in range(min(room, most_waste) + 1):
+            if self.sums[0] >> (room - waste) & 1:
+                for f in self._exact(0, room - waste, dict(left)):
+                    if not waste or not self._dominated(f, waste, left):
+                        yield f
+
+    def _dominated(self, f: list[int], waste: int, left: dict[int, int]) -> bool:
+        free = lambda s: left.get(s, 0) - f.count(s) > 0
+        return any(free(s) for h in {0, *f} for s in range(h + 1, h + waste + 1) if s in self.rank)
+
+
+def pack(sizes: list[int], cap: int, steps: int = STEPS) -> list[list[int]]:
     """Bins of indices into sizes (given in falling order)."""
     best = best_fit(sizes, cap)
     least = lower_bound(sizes, cap) if sizes else 0
-    total = sum(sizes)
     if len(best) <= least:
         return best
+    total = sum(sizes)
     count: dict[int, int] = {}
     for s in sizes:
         count[s] = count.get(s, 0) + 1
+    fill, left = Fillings(count, cap, steps), dict(count)
     plan: list[list[int]] | None = None
-    state, bins, waste, spent = dict(count), [], 0, 0
-    stack: list[tuple[list[list[int]], int, dict[int, int], list[list[int]], int]] = []
-    tops = sorted(count, reverse=True)
-    choices: list[list[int]] | None = None
-    while spent < nodes and len(best) > least and (plan is None or len(plan) > least):
-        target = (len(plan) if plan is not None else len(best)) - 1
-        spent += 1
-        top = next((s for s in tops if state.get(s, 0) > 0), None)
-        if top is None:
-            if len(bins) <= target:
-                plan = [list(b) for b in bins]
-            choices = None
-        elif waste > target * cap - total or len(bins) >= target:
-            choices = None  # too much room lost to beat the incumbent
-        else:
-            state[top] -= 1
-            choices = [[top, *f] for f in fillings(top, state, cap)]
-            state[top] += 1
-            stack.append((choices, 0, dict(state), list(bins), waste))
-        while stack:
-            options, i, s0, b0, w0 = stack.pop()
-            if i < len(options):
-                stack.append((options, i + 1, s0, b0, w0))
-                state, bins = dict(s0), [*b0, options[i]]
-                for s in options[i]:
-                    state[s] -= 1
-                waste = w0 + cap - sum(options[i])
-                break
+    goal = len(best) - 1
+    bins: list[list[int]] = []
+    waste, deepest = 0, 0
+    stack: list[tuple[Iterator[list[int]], int]] = []  # the fillings still to try at each bin, and its largest item
+
+    def open_bin(at: int) -> None:
+        while not left[fill.sizes[at]]:
+            at += 1
+        top = fill.sizes[at]
+        left[top] -= 1
+        stack.append((fill.around(cap - top, left, goal * cap - total - waste), top))
+
+    def settle(found: list[list[int]]) -> None:
+        nonlocal plan, goal
+        if len(found) <= goal:
+            plan, goal = found, len(found) - 1
+
+    def completed() -> list[list[int]]:
+        rest = [s for s in fill.sizes for _ in range(left[s] + (s == stack[-1][1]))]
+        return [*map(list, bins), *([rest[i] for i in b] for b in best_fit(rest, cap))]
+
+    open_bin(0)
+    while stack and fill.steps >= 0 and goal >= least:
+        fillings, top = stack[-1]
+        if len(bins) == len(stack):  # come back to a bin: its last filling is undone
+            last = bins.pop()
+            waste -= cap - sum(last)
+            for s in last[1:]:
+                left[s] += 1
+        f = next(fillings, None) if waste <= goal * cap - total else None
+        if f is None or waste + cap - top - sum(f) > goal * cap - total:
+            if len(bins) > deepest or fill.steps < 0:
+                deepest = len(bins)
+                settle(completed())
+            stack.pop()
+            left[top] += 1
+            continue
+        for s in f:
+            left[s] -= 1
+        waste += cap - top - sum(f)
+        bins.append([top, *f])
+        if any(left.values()):
+            open_bin(fill.rank[top])
         else:
-            break
-    if plan is None or len(plan) >= len(best):
+            settle([list(b) for b in bins])
+    if plan is None:
         return best
     at: dict[int, list[int]] = {}
     for i, s in enumerate(sizes):
@@ -171,21 +213,21 @@ def fill_containers(sized: DataFrame, cap: int = CAPACITY, block_items: int = BL
     items = each.filter(F.col("tokens") % cap > 0).select("doc_id", whole.alias("piece"), "copy", (F.col("tokens") % cap).alias("tokens"))
     parts, level, n = [full], 0, items.count()
     schema = f"container_id string, doc_id {dict(sized.dtypes)['doc_id']}, piece int, copy int, tokens long, filled long"
+    spark = sized.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
     while n:
-        blocks = max(1, math.ceil(n / block_items))
-        packed = items.withColumn("block", F.pmod(F.xxhash64("doc_id", "copy", "piece", F.lit(level)), F.lit(blocks))).groupBy("block").applyInPandas(_packer(cap, level), schema)
-        last = blocks == 1
-        packed = packed if last else cut(packed)
-        kept = packed if last else packed.filter(F.col("filled") >= NEARLY_FULL * cap)
+        blocks = math.ceil(n / block_items)
+        block = F.pmod(F.xxhash64("doc_id", "copy", "piece", F.lit(level)), F.lit(blocks))
+        spread = items.withColumn("block", block).repartition(min(blocks, tasks), "block")  # a given number is not coalesced into fewer tasks
+        packed = cut(spread.groupBy("block").applyInPandas(_packer(cap, level), schema))
+        open_ = packed.filter(F.col("filled") < NEARLY_FULL * cap)
+        left = open_.count() if blocks > 1 else 0
+        again = left > 0 and math.ceil(left / block_items) < blocks
+        kept = packed.filter(F.col("filled") >= NEARLY_FULL * cap) if again else packed
         parts.append(kept.select("container_id", "doc_id", "piece", "tokens", "filled"))
-        if last:
-            break
-        items = packed.filter(F.col("filled") < NEARLY_FULL * cap).select("doc_id", "piece", "copy", "tokens")
-        left = items.count()
-        if left > n // 2:  # packing again would not help: hardly a container is full
-            parts.append(packed.filter(F.col("filled") < NEARLY_FULL * cap).select("container_id", "doc_id", "piece", "tokens", "filled"))
+        if not again:
             break
-        n, level = left, level + 1
+        items, n, level = open_.select("doc_id", "piece", "copy", "tokens"), left, level + 1
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
