@@ -125,7 +125,8 @@ def near_in_letters(a: str = "a", b: str = "b") -> Column:
     """Coined parts of two nodes close enough for `likeness`: a cheaper test of letters that never refuses what it accepts."""
     x, y = F.substring_index(a, "|", 1), F.substring_index(b, "|", 1)
     n = F.least(F.length(x), F.length(y))  # neighbouring letters that changed places are one slip there and two letters here
-    return (x == y) | ((n >= 5) & (F.levenshtein(x, y, 2) >= 0)) | ((n >= 7) & (F.levenshtein(x, y, 4) >= 0))
+    same_start = F.substring(x, 1, 1) == F.substring(y, 1, 1)
+    return (x == y) | ((n >= 5) & (F.levenshtein(x, y, 2) >= 0)) | ((n >= 7) & same_start & (F.levenshtein(x, y, 4) >= 0))
 
 
 def cosine_pairs(nodes: DataFrame, least: float = COSINE, hot: int = HOT, may: Column | None = None) -> DataFrame:
