@@ -30,11 +30,12 @@ LINE_SHARE = 0.002  # of its source's texts: a last line that so many share is a
 WORD_SHARE = 0.004  # of its source's texts: a last word that so many share is a habit
 CLOSING_SHARE = 0.0015  # of all texts: two last words that so many share are a closing
 WORD_RATE = 3e-3  # a word that ends texts at least so often, of the times it is met, may end one
-TAIL = 400  # characters of the ending that the rules look at; the counts read whole texts
+TAIL = 400  # characters in which the marks of an ending are looked for, none of which is near as long; all else reads whole texts
+REASONS = ("field limit", "torn", "unusual ending")
 SENTENCE_END = r"""[.!?。]["'”’»)\]}*_]*$"""
 ELLIPSIS = r"(\.\.\.|…)[\"'”’»)\]]*$"
 #: A text that goes on elsewhere, or whose last character, tag or entity is torn.
-TORN = r"(?i)((\.\.\.|…)\]?\s*(\(?(read|see|show) (more|on)\)?|continue( reading)?|more)\W*$)|([(\[](continue|more|read more)[)\]]$)|(&(hellip|#8230);$)|(\[(\.\.\.|…)\]$)|�$|<[a-z/][^<>]*$|&[a-z#0-9]{1,8}$"
+TORN = r"(?i)((\.\.\.|…)\]?\s*(\(?(read|see|show) (more|on)\)?|continue( reading)?|more)\W*$)|([(\[](continue|more|read more)[)\]]$)|(&(hellip|#8230);$)|(\[(\.\.\.|…)\]$)|�$|&[a-z#0-9]{1,8}$"
 
 
 def _words(c: Column) -> Column:
@@ -44,15 +45,18 @@ def _words(c: Column) -> Column:
 def _marked(docs: DataFrame) -> DataFrame:
     """One row per source and distinct text: key, lengths, and the parts of the ending."""
     t = F.col("text")
-    texts = docs.filter(t.rlike(r"\S")).select(
-        F.coalesce("source", F.lit("\x00")).alias("source"), F.sha2(t.cast("binary"), 256).alias("key"), F.length(t).alias("chars"), F.octet_length(t).alias("bytes"),
-        F.rtrim(F.regexp_replace(F.expr(f"right(text, {TAIL})"), r"\s+$", "")).alias("tail"),
-    ).groupBy("source", "key").agg(F.first("chars").alias("chars"), F.first("bytes").alias("bytes"), F.first("tail").alias("tail"))
-    line = F.regexp_extract("tail", r"([^\n\r]*)$", 1)
+    # each pattern takes all it can from the front, so it reads a text once
+    whole = F.regexp_replace(t, r"\s+\z", "")
+    line = F.substring_index(F.translate("whole", "\r", "\n"), "\n", -1)
     # closing lines may also follow the last sentence on its line
-    last = F.trim(F.regexp_extract(line, r"((?:[^.!?。]|[.!?。](?!\s))*[.!?。]?)$", 1))
-    spaced = F.regexp_replace("tail", r"([|=])(?=\S)", "$1 ")
-    return texts.select("*", _words(F.regexp_extract(spaced, r"(\S+)$", 1)).alias("word"), _words(last).alias("line"), _words(F.regexp_extract("tail", r"(\S+\s+\S+)$", 1)).alias("two"))
+    last = F.trim(F.regexp_extract(line, r"(?s)^(?:.*[.!?。]\s)?(.*)$", 1))
+    last_word = lambda c: F.regexp_extract(c, r"(?s)^(?:.*\s)?(\S+)$", 1)
+    spaced = F.regexp_replace(last_word("whole"), r"([|=])(?=\S)", "$1 ")
+    tag = F.substring_index("whole", "<", -1)
+    return docs.filter(t.rlike(r"\S")).select(F.coalesce("source", F.lit("\x00")).alias("source"), F.sha2(t.cast("binary"), 256).alias("key"), F.length(t).alias("chars"), F.octet_length(t).alias("bytes"), whole.alias("whole")).select(
+        "source", "key", "chars", "bytes", F.right("whole", F.lit(TAIL)).alias("tail"), _words(last_word(spaced)).alias("word"), _words(last).alias("line"),
+        _words(F.regexp_extract("whole", r"(?s)^(?:.*\s)?(\S+\s+\S+)$", 1)).alias("two"), (F.contains("whole", F.lit("<")) & tag.rlike("^(?i)[a-z/]") & ~F.contains(tag, F.lit(">"))).alias("in_tag"),
+    ).groupBy("source", "key").agg(*[F.first(c).alias(c) for c in ("chars", "bytes", "tail", "word", "line", "two", "in_tag")])
 
 
 def length_limits(texts: DataFrame, alpha: float = ALPHA, near: int = NEAR) -> DataFrame:
@@ -99,13 +103,13 @@ def _inner_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def judged(docs: DataFrame) -> DataFrame:
-    """One row per source and distinct text: source, key, at_limit, is_cut."""
+    """One row per source and distinct text: source, key, at_limit, is_cut, reason (field limit, torn, or unusual ending)."""
     texts = cut(_marked(docs))
     limits = length_limits(texts).select("source", "unit", "length")
     at_chars = limits.filter("unit = 'chars'").select("source", F.col("length").alias("chars"), F.lit(True).alias("by_chars"))
     at_bytes = limits.filter("unit = 'bytes'").select("source", F.col("length").alias("bytes"), F.lit(True).alias("by_bytes"))
     t = texts.join(at_chars, ["source", "chars"], "left").join(at_bytes, ["source", "bytes"], "left").withColumn("at_limit", F.coalesce("by_chars", "by_bytes", F.lit(False)))
-    t = cut(t.select("source", "key", "tail", "word", "line", "two", "at_limit"))
+    t = cut(t.select("source", "key", "tail", "word", "line", "two", "in_tag", "at_limit"))
     free = t.filter(~F.col("at_limit"))
     sizes = t.groupBy("source").agg(F.count("*").alias("texts"))
     total = sizes.agg(F.sum("texts").alias("all_texts"))
@@ -126,9 +130,10 @@ def judged(docs: DataFrame) -> DataFrame:
     sentence = F.col("tail").rlike(SENTENCE_END) & ~F.col("tail").rlike(ELLIPSIS)
     # "Inc." and the like: a full stop that hardly ever ends a text
     abbreviation = F.col("word").endswith(".") & (F.coalesce("inner", F.lit(0)) >= 200) & (F.coalesce("ends", F.lit(0)) < 1e-3 * F.col("inner"))
-    torn = F.col("tail").rlike(TORN)
+    torn = F.col("tail").rlike(TORN) | F.col("in_tag")
     whole = (sentence & ~abbreviation) | closing | (habit & ~F.col("tail").rlike(ELLIPSIS))
-    return j.select("source", "key", "at_limit", (torn | ~whole).alias("is_cut"))
+    reason = F.when(F.col("at_limit"), "field limit").when(torn, "torn").otherwise("unusual ending")
+    return j.select("source", "key", "at_limit", (torn | ~whole).alias("is_cut"), F.when(torn | ~whole, reason).alias("reason"))
 
 
 def cut_documents(docs: DataFrame) -> DataFrame:
@@ -138,8 +143,13 @@ def cut_documents(docs: DataFrame) -> DataFrame:
 
 
 def cut_report(docs: DataFrame) -> DataFrame:
-    """Per source: documents, documents with a text, cut ones and their share of those."""
-    found = cut_documents(docs).withColumn("hit", F.lit(1))
-    return docs.select("doc_id", "source", "text").join(found, "doc_id", "left").groupBy("source").agg(
-        F.count("*").alias("documents"), F.count_if(F.col("text").rlike(r"\S")).alias("with_text"), F.coalesce(F.sum("hit"), F.lit(0)).alias("cut_texts"),
-    ).withColumn("share", F.when(F.col("with_text") > 0, F.round(F.col("cut_texts") / F.col("with_text"), 6)))
+    """Per source: documents, documents with a text, cut ones, their share of those, and how many of them each reason found.
+
+    A text that is cut for several reasons under several sources counts for the first in the order field limit, torn, unusual ending.
+    """
+    order = F.min(F.struct(F.array_position(F.array(*[F.lit(r) for r in REASONS]), F.col("reason")).alias("i"), "reason"))["reason"]
+    keys = judged(docs).filter("is_cut").groupBy("key").agg(order.alias("reason"))
+    has_text = F.col("text").rlike(r"\S")
+    rows = docs.select("source", has_text.alias("has_text"), F.when(has_text, F.sha2(F.col("text").cast("binary"), 256)).alias("key")).join(keys, "key", "left")
+    by = [F.count_if(F.col("reason") == r).alias(f"by_{r.replace(' ', '_')}") for r in REASONS]
+    return rows.groupBy("source").agg(F.count("*").alias("documents"), F.count_if("has_text").alias("with_text"), F.count("reason").alias("cut_texts"), *by).withColumn("share", F.when(F.col("with_text") > 0, F.round(F.col("cut_texts") / F.col("with_text"), 6)))
