@@ -14,7 +14,9 @@ from orbweave.sources import views as V
 
 HIGH, MEDIUM, LOW = 0.90, 0.75, 0.60
 #: The tags that count as priority technology.
-PRIORITY_TAGS = ("ai_ml", "autonomy", "cyber", "directed_energy", "hypersonics", "quantum", "radar", "space", "swarm")
+PRIORITY_TAGS = ("ai_ml", "autonomy", "quantum", "hypersonics", "cyber", "space", "directed_energy", "c4isr", "ew")
+#: What makes a tag one that also sells outside government.
+DUAL_USE = ("commercial", "dual-use", "enterprise", "saas", "cloud")
 RAISE_WINDOW = 548  # days
 
 
@@ -102,11 +104,15 @@ def high_priority_technology(spark: SparkSession, sf: str) -> DataFrame:
     return _out(d, "high_priority_technology", F.least(F.lit(0.9), 0.6 + 0.1 * F.size("hits")), V.as_of(), F.col("hits").alias("priority_technologies"), F.size("hits").alias("priority_count"))
 
 
+#: The words that name an agency, in the order in which they count, and its short name.
+AGENCY_WORDS = (("ARMY", "Army"), ("NAVY", "Navy"), ("NAVAL", "Navy"), ("AIR FORCE", "Air Force"), ("SPACE FORCE", "Space Force"), ("DARPA", "DARPA"), ("DLA", "DLA"), ("DISA", "DISA"), ("MDA", "MDA"), ("MISSILE DEFENSE", "MDA"))
+
+
 def agency_key(c: Column) -> Column:
     """An agency under one name: the service or bureau it speaks of, else its first fifty characters."""
     u = F.upper(c)
     out = F.substring(c, 1, 50)
-    for word, name in reversed((("ARMY", "ARMY"), ("NAVY", "NAVY"), ("NAVAL", "NAVY"), ("AIR FORCE", "AIR FORCE"), ("SPACE FORCE", "SPACE FORCE"), ("DARPA", "DARPA"), ("DLA", "DLA"), ("DISA", "DISA"), ("MDA", "MDA"))):
+    for word, name in reversed(AGENCY_WORDS):
         out = F.when(u.contains(word), F.lit(name)).otherwise(out)
     return out
 
@@ -239,33 +245,58 @@ def contract_acceleration(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def sole_source_award(spark: SparkSession, sf: str) -> DataFrame:
-    """Award payloads of other-transaction agreements that say so; one row per entity, the latest."""
+    """Awards that were not competed; one signal per award, as the last one written stands for the entity.
+
+    The competition codes are in the payload of the award. Contracts have no payload here, so the payloads of the CONTRACT
+    events are read, and those of other-transaction agreements are the ones that carry the codes.
+    """
     j = lambda p: F.get_json_object("raw_data", f"$.coreData.competitionInformation.{p}.code")
     f = _of(V.funding(spark, sf).filter(F.col("raw_data").contains("competitionInformation")), V.startups(spark, sf)).filter((j("extentCompeted") == "C") | (j("solicitationProcedures") == "SSS"))
-    d = f.groupBy("entity_id").agg(F.max(F.struct(F.coalesce("event_date", V.as_of()).alias("day"), "id")).alias("x"), F.count("*").alias("n"))
-    return _out(d, "sole_source_award", F.lit(0.85), F.col("x.day"), F.col("n").alias("awards"))
+    return _out(f, "sole_source_award", F.lit(0.85), F.coalesce("event_date", V.as_of()), F.col("id").alias("award"), F.col("amount").cast("double").alias("contract_value"))
 
 
 def sbir_breadth(spark: SparkSession, sf: str) -> DataFrame:
-    """Awards of four and more branches by entities with at least three tags; the branch is the payload's agency."""
-    agency = F.coalesce(F.get_json_object("raw_data", "$.Agency"), F.get_json_object("raw_data", "$.agency"))
+    """Awards of four and more branches by entities with at least three tags.
+
+    Left out is an entity of exactly three tags whose agencies as found by multi_agency_interest hold all these branches.
+    """
+    agency = F.nullif(F.coalesce(F.get_json_object("raw_data", "$.Branch"), F.get_json_object("raw_data", "$.branch")), F.lit(""))
     f = _of(V.funding(spark, sf).filter(_is("SBIR_PHASE_1", "SBIR_PHASE_2")), V.startups(spark, sf).filter(F.size("technology_tags") >= 3))
-    d = f.withColumn("agency", agency).groupBy("entity_id").agg(F.count_distinct("agency").alias("n"), F.max("event_date").alias("last")).filter("n >= 4")
+    d = f.withColumn("agency", agency).groupBy("entity_id").agg(F.count_distinct("agency").alias("n"), F.array_sort(F.collect_set("agency")).alias("branches"), F.max("event_date").alias("last")).filter("n >= 4")
+    known = multi_agency_interest(spark, sf).select("entity_id", F.from_json(F.get_json_object("evidence", "$.agencies"), "array<string>").alias("agencies"))
+    tags = V.startups(spark, sf).select(F.col("id").alias("entity_id"), F.size("technology_tags").alias("tags"))
+    d = d.join(tags, "entity_id").join(known, "entity_id", "left").filter(F.col("agencies").isNull() | (F.size(F.array_except("branches", "agencies")) > 0) | (F.col("tags") > 3))
     score = F.when(F.col("n") >= 8, 0.95).when(F.col("n") >= 6, 0.85).otherwise(0.6 + 0.125 * (F.col("n") - 4))
-    return _out(d, "sbir_breadth", score, F.coalesce("last", V.as_of()), F.col("n").alias("agency_count"))
+    return _out(d, "sbir_breadth", score, F.coalesce("last", V.as_of()), F.col("branches").alias("agencies"), F.col("n").alias("agency_count"))
 
 
 def commercial_pathway_fit(spark: SparkSession, sf: str) -> DataFrame:
-    """Private capital beside awards and contracts, and tags that sell outside government."""
-    p = phases(spark, sf).select("entity_id", "sbir_n", "regd_n")
+    """Private capital beside awards and contracts, and tags that sell outside government.
+
+    The rule's term for words of the business description is 0: entities have no such description.
+    """
+    p = V.funding(spark, sf).filter(F.col("entity_id").isNotNull()).groupBy("entity_id").agg(F.count_if(_is(*V.SBIR)).alias("sbir_n"), F.count_if(_is("REG_D_FILING", "PRIVATE_ROUND")).alias("regd_n"))
     c = V.contracts(spark, sf).groupBy("entity_id").agg(F.count("*").alias("contract_n"))
-    dual = F.size(F.filter("technology_tags", lambda t: t.isin("additive_mfg", "batteries", "composites", "edge_ai", "lidar", "thermal")))
+    dual = F.size(F.filter("technology_tags", lambda t: F.lower(t).rlike("|".join(DUAL_USE))))
     e = V.startups(spark, sf).select(F.col("id").alias("entity_id"), F.greatest(dual, F.lit(0)).alias("dual"))
     d = e.join(p, "entity_id", "left").join(c, "entity_id", "left").na.fill(0, ["sbir_n", "regd_n", "contract_n"])
     score = F.when((F.col("sbir_n") > 0) & (F.col("regd_n") > 0), 0.3).otherwise(0.0) + F.when((F.col("contract_n") > 0) & (F.col("regd_n") > 0), 0.2).otherwise(0.0) + F.least(0.1 * F.col("dual"), F.lit(0.2))
     return _out(d.withColumn("score", score).filter("score >= 0.4"), "commercial_pathway_fit", F.least("score", F.lit(1.0)), V.as_of(), F.col("sbir_n").alias("sbir_count"), F.col("regd_n").alias("regd_count"))
 
 
+def jar_funding(spark: SparkSession, sf: str) -> DataFrame:
+    """Awards out of the acceleration reserve, by procurement type or contract type; an entity's first by id."""
+    c = V.contracts(spark, sf).filter((F.col("procurement_type") == "jar") | F.col("contract_type").ilike("%joint acceleration%")).filter("entity_id IS NOT NULL")
+    d = c.groupBy("entity_id").agg(F.min(F.struct("id", "award_date", F.col("contract_value").cast("double").alias("value"), "contracting_agency")).alias("x")).select("entity_id", "x.*")
+    return _out(d, "jar_funding", F.lit(0.95), F.coalesce("award_date", V.as_of()), F.col("value"), F.col("contracting_agency").alias("agency"))
+
+
+def top_signals(signals: DataFrame, names: DataFrame, n: int = 10) -> DataFrame:
+    """The n most confident signals (entity_id, base_type, confidence) with the entity's name; ties by entity and type."""
+    top = signals.orderBy(F.desc("confidence"), "entity_id", "base_type").limit(n)
+    return top.join(names, "entity_id", "left")
+
+
 #: All detectors by signal type.
 DETECTORS = {
     "sbir_phase_2_transition": phase_2_transition, "sbir_phase_3_transition": phase_3_transition, "first_dod_contract": first_dod_contract, "rapid_contract_growth": rapid_contract_growth,
@@ -273,7 +304,7 @@ DETECTORS = {
     "sbir_to_vc_raise": sbir_to_vc_raise, "sbir_validated_raise": sbir_validated_raise, "sbir_stalled": sbir_stalled, "customer_concentration": customer_concentration,
     "sbir_graduation_speed": graduation_speed, "time_to_contract": time_to_contract, "funding_velocity": funding_velocity, "gone_stale": gone_stale, "sbir_lapse_risk": sbir_lapse_risk,
     "sole_source_award": sole_source_award, "ota_bridge_award": ota_bridge_award, "multi_vehicle_presence": multi_vehicle_presence, "contract_value_step_change": contract_value_step_change,
-    "contract_acceleration": contract_acceleration, "sbir_breadth": sbir_breadth, "commercial_pathway_fit": commercial_pathway_fit,
+    "contract_acceleration": contract_acceleration, "sbir_breadth": sbir_breadth, "commercial_pathway_fit": commercial_pathway_fit, "jar_funding": jar_funding,
 }
 
 

@@ -37,13 +37,6 @@ def all_edges(spark: SparkSession, sf: str) -> DataFrame:
     return funded_by_agency(spark, sf).unionByName(contracted_by_agency(spark, sf)).unionByName(invested_in_by(spark, sf))
 
 
-def co_invested_peers(spark: SparkSession, sf: str, least: int = 2) -> DataFrame:
-    """Pairs of companies that share investors, with the number shared. Rises with the square of an investor's portfolio."""
-    e = invested_in_by(spark, sf).select("source", "target").distinct()
-    a, b = e.select(F.col("source").alias("a"), "target"), e.select(F.col("source").alias("b"), "target")
-    return a.join(b, "target").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("shared")).filter(F.col("shared") >= least)
-
-
 def reach(spark: SparkSession, sf: str, start: DataFrame, hops: int = 2) -> DataFrame:
     """(node, hop) of all nodes within some hops of the start nodes, either way along an edge; each at its nearest hop."""
     e = all_edges(spark, sf).select("source", "target").distinct()
@@ -55,6 +48,19 @@ def reach(spark: SparkSession, sf: str, start: DataFrame, hops: int = 2) -> Data
     return seen
 
 
+def paths(spark: SparkSession, sf: str, start: DataFrame, hops: int = 2) -> DataFrame:
+    """(hop, node, path) of the nodes within some hops of the start: each at its nearest hop, by the first of its paths in text order."""
+    e = all_edges(spark, sf).select("source", "target").distinct()
+    both = e.unionByName(e.select(F.col("target").alias("source"), F.col("source").alias("target"))).distinct()
+    front = start.select(F.lit(0).alias("hop"), "node", F.col("node").alias("path"))
+    seen, out = front.select("node"), None
+    for i in range(1, hops + 1):
+        step = front.select(F.col("node").alias("source"), "path").join(both, "source").select(F.col("target").alias("node"), F.concat("path", F.lit(" > "), "target").alias("path"))
+        front = step.groupBy("node").agg(F.min("path").alias("path")).join(seen, "node", "left_anti").select(F.lit(i).alias("hop"), "node", "path")
+        seen, out = seen.unionByName(front.select("node")), front if out is None else out.unionByName(front)
+    return out
+
+
 def agency_profiles(spark: SparkSession, sf: str) -> DataFrame:
     """Per agency: contracts and awards with entities, totals and dates; agencies of one name are added up."""
     c = V.contracts(spark, sf).filter(F.trim("contracting_agency") != "").select(agency_key(F.col("contracting_agency")).alias("agency"), "entity_id", F.col("contract_value").alias("value"), F.col("award_date").alias("day"), F.lit(1).alias("c"), F.lit(0).alias("f"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -66,7 +68,6 @@ query("grf_funded_by_agency", _E + " SELECT * FROM fa")(G.funded_by_agency)
 query("grf_contracted_by_agency", _E + " SELECT * FROM ca")(G.contracted_by_agency)
 query("grf_invested_in_by", _E + " SELECT * FROM ib")(G.invested_in_by)
 query("grf_stats", _E + " SELECT kind, count(*)::BIGINT AS edges, count(DISTINCT source)::BIGINT AS sources, count(DISTINCT target)::BIGINT AS targets FROM ed GROUP BY 1")(lambda s, d: G.all_edges(s, d).groupBy("kind").agg(F.count("*").alias("edges"), F.count_distinct("source").alias("sources"), F.count_distinct("target").alias("targets")))
-query("grf_co_invested_peers", _E + " SELECT a.source AS a, b.source AS b, count(*)::BIGINT AS shared FROM ib a JOIN ib b ON a.target = b.target AND a.source < b.source GROUP BY 1, 2 HAVING count(*) >= 2")(G.co_invested_peers)
 query("grf_degree", _E + ", u AS (SELECT DISTINCT least(source, target) a, greatest(source, target) b FROM ed WHERE source <> target), n AS (SELECT node, count(*)::BIGINT degree FROM (SELECT a AS node FROM u UNION ALL SELECT b FROM u) GROUP BY 1) SELECT node, degree, round(degree / (SELECT count(*) - 1 FROM n), 6) AS centrality FROM n ORDER BY degree DESC, node LIMIT 10")(G.degree)
 query("grf_reach_2", _E + ", st AS (SELECT min(source) AS node FROM ib), b AS (SELECT DISTINCT source, target FROM ed UNION SELECT target, source FROM ed), h1 AS (SELECT DISTINCT target AS node FROM b WHERE source IN (SELECT node FROM st) AND target NOT IN (SELECT node FROM st)), h2 AS (SELECT DISTINCT target AS node FROM b WHERE source IN (SELECT node FROM h1) AND target NOT IN (SELECT node FROM h1) AND target NOT IN (SELECT node FROM st)) SELECT hop, count(*)::BIGINT AS nodes FROM (SELECT 0 AS hop, node FROM st UNION ALL SELECT 1, node FROM h1 UNION ALL SELECT 2, node FROM h2) GROUP BY 1")(
     lambda s, d: G.reach(s, d, G.invested_in_by(s, d).agg(F.min("source").alias("node"))).groupBy("hop").agg(F.count("*").alias("nodes")))
@@ -74,8 +75,11 @@ query("grf_agency_profiles", _B + f" SELECT agency, sum(c)::BIGINT AS contracts,
 
 # vectors
 _U = "WITH u AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings)"
-query("vec_retrieve", _U + ", q AS (SELECT v FROM u WHERE vec_id = 0) SELECT label, max(sim) AS sim, count(*)::BIGINT AS hits FROM (SELECT label, round(list_cosine_similarity(u.v, q.v), 6) sim FROM u, q WHERE vec_id <> 0) WHERE sim >= 0.25 GROUP BY 1")(X.retrieve)
-query("vec_similar_to_group", _U + ", n AS (SELECT label, vec_id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) v FROM u), m AS (SELECT list(x ORDER BY i) v FROM (SELECT i, avg(x) x FROM (SELECT unnest(v) x, generate_subscripts(v, 1) i FROM n WHERE label = 0) GROUP BY 1)) SELECT label, max(round(list_cosine_similarity(n.v, m.v), 6)) AS sim FROM n, m WHERE label <> 0 GROUP BY 1")(X.similar_to_group)
+_CS = ", q AS (SELECT vec_id AS query_id, label AS own, v AS qv FROM u WHERE vec_id % 50 = 0), h AS (SELECT query_id, label, max(sim) sim, count(*)::BIGINT hits FROM (SELECT query_id, u.label, round(list_cosine_similarity(u.v, q.qv), 6) sim FROM u, q WHERE u.vec_id <> q.query_id) WHERE sim >= 0.25 GROUP BY 1, 2)"
+query("vec_retrieve", _U + _CS + " SELECT * FROM h")(X.retrieve)
+query("vec_top_labels", _U + _CS + " SELECT query_id, label, sim, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, label)::INT place FROM h) WHERE place <= 3")(X.top_labels)
+query("vec_fan_in", _U + _CS + " SELECT label, max(sim) AS sim, count(*)::BIGINT AS queries FROM h GROUP BY 1")(lambda s, d: X.retrieve(s, d).groupBy("label").agg(F.max("sim").alias("sim"), F.count("*").alias("queries")))
+query("vec_similar_to_group", _U + ", n AS (SELECT label, vec_id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) v FROM u), m AS (SELECT label AS grp, list(x ORDER BY i) mv FROM (SELECT label, i, avg(x) x FROM (SELECT label, unnest(v) x, generate_subscripts(v, 1) i FROM n) GROUP BY 1, 2) GROUP BY 1) SELECT grp AS query_id, label, max(round(list_cosine_similarity(n.v, m.mv), 6)) AS sim FROM n, m WHERE label <> grp GROUP BY 1, 2")(X.similar_to_group)
 query("vec_clusters")(X.clusters)
 
 
@@ -222,7 +226,20 @@ query("win_first_agency", _B + f" SELECT entity_id, agency, first_day, row_numbe
 query("win_latest_contract", _B + " SELECT entity_id, id, award_date FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY award_date DESC, id DESC) r FROM c WHERE entity_id IS NOT NULL AND award_date IS NOT NULL) WHERE r <= 2")(
     lambda s, d: V.contracts(s, d).filter("entity_id IS NOT NULL AND award_date IS NOT NULL").withColumn("r", F.row_number().over(Window.partitionBy("entity_id").orderBy(F.desc("award_date"), F.desc("id")))).filter("r <= 2").select("entity_id", "id", "award_date"))
 query("win_token_budget", "SELECT doc_id, running FROM (SELECT doc_id, source, published, sum(n_chars) OVER (PARTITION BY source ORDER BY published DESC, doc_id)::BIGINT AS running, row_number() OVER (PARTITION BY source ORDER BY published DESC, doc_id) r FROM documents WHERE n_chars > 0 AND published IS NOT NULL) WHERE running <= 48000 OR r = 1")(
-    lambda s, d: table(s, d, "documents").filter("n_chars > 0 AND published IS NOT NULL").select("doc_id", "source", "published", "n_chars").withColumn("running", F.sum("n_chars").over(Window.partitionBy("source").orderBy(F.desc("published"), "doc_id").rowsBetween(Window.unboundedPreceding, 0))).withColumn("r", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("published"), "doc_id"))).filter("running <= 48000 OR r = 1").select("doc_id", "running"))
+    lambda s, d: _token_budget(s, d))
+
+
+def _token_budget(spark: SparkSession, sf: str, budget: int = 48_000) -> DataFrame:
+    """The newest documents of each source that fit a budget of characters, the first always; only the days it reaches are sorted by row."""
+    d = table(spark, sf, "documents").filter("n_chars > 0 AND published IS NOT NULL").select("doc_id", "source", "published", "n_chars")
+    newest = Window.partitionBy("source").orderBy(F.desc("published"))
+    days = d.groupBy("source", "published").agg(F.sum("n_chars").alias("day")).withColumn("before", F.sum("day").over(newest) - F.col("day")).filter(F.col("before") <= budget)
+    w = Window.partitionBy("source").orderBy(F.desc("published"), "doc_id")
+    near = d.alias("d").join(days.alias("k"), F.col("d.source").eqNullSafe(F.col("k.source")) & (F.col("d.published") == F.col("k.published")), "left_semi")
+    near = near.withColumns({"running": F.sum("n_chars").over(w.rowsBetween(Window.unboundedPreceding, 0)), "r": F.row_number().over(w)})
+    return near.filter((F.col("running") <= budget) | (F.col("r") == 1)).select("doc_id", "running")
+
+
 query("set_active_entities", _B + " SELECT DISTINCT entity_id FROM (SELECT entity_id FROM c WHERE award_date >= DATE '2025-03-01' UNION SELECT entity_id FROM f WHERE event_date >= DATE '2025-03-01') WHERE entity_id IS NOT NULL")(
     lambda s, d: V.contracts(s, d).filter("award_date >= date'2025-03-01'").select("entity_id").union(V.funding(s, d).filter("event_date >= date'2025-03-01'").select("entity_id")).filter("entity_id IS NOT NULL").distinct())
 query("set_both_sides", _B + f" SELECT entity_id FROM f WHERE event_type IN {_SB} AND entity_id IS NOT NULL INTERSECT SELECT entity_id FROM f WHERE event_type = 'REG_D_FILING'")(
@@ -241,16 +258,35 @@ def _jaccard(spark: SparkSession, sf: str) -> DataFrame:
 query("enr_duplicate_contracts", _B + " SELECT DISTINCT b.id FROM c a JOIN c b ON a.entity_id = b.entity_id AND a.contracting_agency = b.contracting_agency AND a.id < b.id WHERE (abs(a.contract_value - b.contract_value)::DOUBLE / greatest(abs(a.contract_value), abs(b.contract_value), 1)::DOUBLE < 0.1) OR (abs(a.award_date - b.award_date) <= 90 AND (a.contract_value = 0 OR b.contract_value = 0))")(lambda s, d: _dup_contracts(s, d))
 
 
+NEAR = -math.log(0.9) - 1e-12  # a tenth less is no longer near
+
+
 def _dup_contracts(spark: SparkSession, sf: str) -> DataFrame:
     """Contracts that repeat an earlier one of the same entity and agency: nearly equal in value, or near in time without one.
 
-    Compared with the next larger and smaller values only: if any earlier contract is within a tenth, a neighbour in value is.
+    No pairs are made. Equal values of an entity and agency are one point with its smallest id; a window over the logarithm of
+    the value finds the smallest id within a tenth. The window runs within cells of value, in which a point stands also for
+    its neighbours, so a large entity is spread over its cells. Values below 1.2 are few and compared as they are; the leg
+    without value runs over the entity's days.
     """
-    c = V.contracts(spark, sf).filter("entity_id IS NOT NULL AND contracting_agency IS NOT NULL").select("id", "entity_id", "contracting_agency", F.col("contract_value").alias("v"), "award_date")
-    a = c.select(F.col("id").alias("i"), "entity_id", "contracting_agency", F.col("v").alias("w"), F.col("award_date").alias("day"))
-    gap = F.abs(F.col("v") - F.col("w")).cast("double") / F.greatest(F.abs("v"), F.abs("w"), F.lit(1)).cast("double")
-    near = (F.abs(F.datediff("award_date", "day")) <= 90) & ((F.col("v") == 0) | (F.col("w") == 0))
-    return c.join(a, ["entity_id", "contracting_agency"]).filter((F.col("i") < F.col("id")) & ((gap < 0.1) | near)).select("id").distinct()
+    key = ["entity_id", "contracting_agency"]
+    c = V.contracts(spark, sf).filter("entity_id IS NOT NULL AND contracting_agency IS NOT NULL").select("id", *key, F.col("contract_value").alias("v"), "award_date")
+    points = c.filter("v IS NOT NULL").groupBy(*key, "v").agg(F.min("id").alias("first"))
+    large = points.filter(F.abs("v") >= 1.2).withColumns({"sign": F.signum("v").cast("int"), "ln": F.log(F.abs(F.col("v").cast("double")))}).withColumn("cell", F.floor("ln"))
+    spread = large.withColumn("at", F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)))
+    least = F.expr(f"min(first) OVER (PARTITION BY {', '.join(key)}, sign, at ORDER BY ln RANGE BETWEEN {NEAR}D PRECEDING AND {NEAR}D FOLLOWING)")
+    hit = spread.withColumn("least", least).filter("at = cell").select(*key, "v", "least")
+    bridge = points.filter(F.abs("v") < 1.5)  # by the cent at most 299 an entity and agency
+    bridge = bridge.select(*key, F.col("v").alias("w"), F.col("first").alias("least"))
+    gap = lambda a, b: F.abs(F.col(a) - F.col(b)).cast("double") / F.greatest(F.abs(a), F.abs(b), F.lit(1)).cast("double")
+    hit_small = points.filter(F.abs("v") < 1.5).join(bridge, key).filter(gap("v", "w") < 0.1).groupBy(*key, "v").agg(F.min("least").alias("least"))
+    by_value = c.join(hit.unionByName(hit_small), [*key, "v"]).filter("least < id").select("id")
+    days = c.filter("award_date IS NOT NULL").groupBy(*key, "award_date").agg(F.min("id").alias("any"), F.min(F.when(F.col("v") == 0, F.col("id"))).alias("empty"))
+    around = Window.partitionBy(*key).orderBy(F.unix_date("award_date")).rangeBetween(-90, 90)
+    days = days.select(*key, "award_date", F.min("any").over(around).alias("any"), F.min("empty").over(around).alias("empty"))
+    # a missing value is near to nothing, and only another's zero makes it one
+    by_day = c.join(days, [*key, "award_date"]).filter((F.col("empty") < F.col("id")) | ((F.col("v") == 0) & (F.col("any") < F.col("id")))).select("id")
+    return by_value.unionByName(by_day).distinct()
 
 
 query("enr_superseded", _B + " SELECT event_type, count(*)::BIGINT AS n FROM f WHERE id NOT IN (SELECT parent_event_id FROM f WHERE parent_event_id IS NOT NULL) GROUP BY 1")(lambda s, d: superseded(V.funding(s, d)).groupBy("event_type").agg(F.count("*").alias("n")))

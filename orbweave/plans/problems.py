@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,12 +81,18 @@ k AS (SELECT n.*, CASE WHEN p.key IS NULL AND g.key IS NOT NULL THEN 'deleted' W
   FROM named n LEFT JOIN p USING (key) LEFT JOIN g USING (key))"""
 
 
+def _p3_wide_sql(types_dir: str = "/root/testdata/sf0.001") -> dict[str, str]:
+    """One column after the other for each listed type; the list (clean, the same at every scale) is read from the smallest tables."""
+    try:
+        kinds = sorted(set(pq.read_table(f"{types_dir}/signal_types.parquet", columns=["signal_type"]).column(0).to_pylist()))
+    except FileNotFoundError:
+        return {}
+    cols = ", ".join(f"""count(*) FILTER (kind = '{k}')::BIGINT AS "{k}_n", max(day) FILTER (kind = '{k}') AS "{k}_latest", coalesce(sum(score) FILTER (kind = '{k}'), 0)::DECIMAL(18,2) AS "{k}_total\"""" for k in kinds)
+    return {"p3_features": f"{_P3} SELECT entity_id, {cols} FROM e WHERE entity_id IS NOT NULL GROUP BY entity_id"}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {
-        "p3_features": _P3 + """, t AS (SELECT DISTINCT signal_type FROM signal_types),
-c AS (SELECT entity_id, t.signal_type, count(*)::BIGINT AS n, max(day) AS latest, coalesce(sum(score), 0)::DECIMAL(18,2) AS total FROM e JOIN t ON t.signal_type = e.kind WHERE entity_id IS NOT NULL GROUP BY ALL),
-x AS (SELECT i.entity_id, t.signal_type, coalesce(n, 0) AS n, latest, coalesce(total, 0)::DECIMAL(18,2) AS total FROM (SELECT DISTINCT entity_id FROM e WHERE entity_id IS NOT NULL) i CROSS JOIN t LEFT JOIN c ON c.entity_id = i.entity_id AND c.signal_type = t.signal_type)
-PIVOT x ON signal_type USING first(n) AS n, first(latest) AS latest, first(total) AS total GROUP BY entity_id""",
+    return _p3_wide_sql() | {
         "p3_long": _P3 + " SELECT entity_id, kind AS signal_type, count(*)::BIGINT AS n, max(day) AS latest, coalesce(sum(score), 0)::DECIMAL(18,2) AS total FROM e WHERE entity_id IS NOT NULL AND kind IN (SELECT signal_type FROM signal_types) GROUP BY ALL",
         "p6_found": _ORPHANS + " SELECT DISTINCT table_name, id, kind FROM k WHERE kind IS NOT NULL AND id IS NOT NULL",
         "p6_report": _ORPHANS + """, t AS (SELECT table_name, CAST(date_trunc('month', created_at) AS DATE) AS period, count(*)::BIGINT AS "references" FROM named GROUP BY ALL)

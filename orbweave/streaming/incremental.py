@@ -22,20 +22,24 @@ def sessions(events: DataFrame, at: str, by: str, gap: str = "30 minutes", late:
 
 
 def keep_features(state_path: str):
-    """A foreachBatch function: folds signed deltas (entity_id, kind, score, day, sign) into the state of `deltas`.
+    """A foreachBatch function: folds signed deltas (entity_id, kind, score, day, sign) into a kept state.
 
-    Two folders take turns, so a batch that fails leaves the last state whole. Retractions of latest events need the
-    events as they stand; a stream of inserts alone does not, so a batch with retractions must carry `live` rows of its own.
+    Kept are the features of `deltas` and, for maxima that a retraction undoes, the standing events of each key and day as
+    counts. Two folders take turns, so a batch that fails leaves the last state whole and can be run again. Batch 0 starts from nothing;
+    every later one needs the state before it and fails without it.
     """
 
     def fold(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        live = batch.filter("sign > 0")
-        inserts = batch.select("entity_id", "kind", "score", "day", "sign")
-        try:
-            state = spark.read.parquet(f"{state_path}/{(number + 1) % 2}")
-        except Exception:  # the first batch
-            state = deltas.summarise(batch.limit(0))
-        deltas.apply_deltas(state, inserts, live).write.mode("overwrite").parquet(f"{state_path}/{number % 2}")
+        spark, before, now = batch.sparkSession, f"{state_path}/{(number + 1) % 2}", f"{state_path}/{number % 2}"
+        signed = batch.select("entity_id", "kind", "score", "day", "sign").filter(F.col("entity_id").isNotNull())
+        days = signed.filter(F.col("day").isNotNull()).groupBy("entity_id", "kind", "day").agg(F.sum("sign").alias("n"))
+        if number:
+            state, standing = spark.read.parquet(f"{before}/features"), spark.read.parquet(f"{before}/days")
+            days = standing.unionByName(days).groupBy("entity_id", "kind", "day").agg(F.sum("n").alias("n"))
+        else:
+            state = deltas.summarise(signed.limit(0))
+        days.filter("n <> 0").write.mode("overwrite").parquet(f"{now}/days")
+        live = spark.read.parquet(f"{now}/days").filter("n > 0")
+        deltas.apply_deltas(state, signed, live).write.mode("overwrite").parquet(f"{now}/features")
 
     return fold
