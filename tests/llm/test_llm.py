@@ -6,9 +6,11 @@ import math
 import os
 import random
 
+import numpy as np
 import pytest
 
 from orbweave.llm import bpe, linkage, names, packing, spellings, survivorship, truncation
+from orbweave.llm import components as components_module
 from orbweave.llm.components import components
 
 U = [f"00000000-0000-0000-0000-0000000000{i:02d}" for i in range(60)]
@@ -116,8 +118,9 @@ def test_describing_words_beside_a_large_owner(spark):
 
 def test_cosine_pairs_of_hot_features(spark):
     nodes = spark.createDataFrame([(f"{c}|applied optics|||",) for c in ("brepofex", "brepofax", "brepotex", "stekulon")], "node string")
-    cold = {tuple(r) for r in spellings.cosine_pairs(nodes).collect()}
-    assert cold and cold <= {tuple(r) for r in spellings.cosine_pairs(nodes, hot=1).collect()}
+    pairs = lambda **k: {(r["a"], r["b"]) for r in spellings.cosine_pairs(nodes, **k).collect()}
+    cold = pairs()
+    assert cold and cold == pairs(hot=1)
 
 
 @pytest.mark.parametrize("least", [0.05, 0.2, 0.6])
@@ -131,10 +134,35 @@ def test_cosine_pairs_are_those_of_brute_force(spark, least):
         df[r["feature"]] = df.get(r["feature"], 0) + 1
     w = {f: math.log(1 + len(keys) / n) for f, n in df.items()}
     norm = {k: math.sqrt(sum(w[f] ** 2 for f in x)) for k, x in has.items()}
-    want = {(a, b) for a in keys for b in keys if a < b and sum(w[f] ** 2 for f in has[a] & has[b]) / norm[a] / norm[b] >= least}
+    cosine = {(a, b): sum(w[f] ** 2 for f in has[a] & has[b]) / norm[a] / norm[b] for a in keys for b in keys if a < b}
+    want = {k for k, x in cosine.items() if x >= least}
     for hot in (4, 3000):
-        got = [tuple(r) for r in spellings.cosine_pairs(nodes, least, hot).collect()]
-        assert len(got) == len(set(got)) and set(got) == want
+        got = {(r["a"], r["b"]): r["cosine"] for r in spellings.cosine_pairs(nodes, least, hot).collect()}
+        assert set(got) == want and all(abs(got[k] - cosine[k]) < 1e-9 for k in want)
+
+
+def test_letters_never_refuse_what_likeness_accepts(spark):
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choice("abcd") for _ in range(rnd.randint(3, 10)))
+
+    def slip(w):
+        i = rnd.randrange(len(w))
+        return rnd.choice([w[:i] + w[i + 1 :], w[:i] + rnd.choice("abcd") + w[i:], w[:i] + rnd.choice("abcd") + w[i + 1 :], w[:i] + w[i : i + 2][::-1] + w[i + 2 :]])
+
+    rows = [(f"{x}|applied optics|||", f"{slip(slip(x)) if rnd.random() < 0.8 else word()}|applied optics|||") for x in (word() for _ in range(1500))]
+    allowed = spark.createDataFrame(rows, "a string, b string").filter(spellings.near_in_letters()).collect()
+    ok = {tuple(r) for r in allowed}
+    alike = {r for r in rows if names.likeness(spellings._name(r[0]), spellings._name(r[1])) in spellings.ALIKE}
+    assert alike and alike <= ok
+
+
+@pytest.mark.parametrize("n", [1, 2, 50])
+def test_no_link_is_lost_to_the_nearest(spark, n):
+    """Pairs beyond the n nearest of both ends are settled after the first linkage."""
+    like = spark.createDataFrame([(f"x{i:02d}|power|||", f"x{j:02d}|power|||", 0.9 - 0.001 * (i + j), 0, "full") for j in range(12) for i in range(j)], "a string, b string, cosine double, slips int, how string")
+    none = spark.createDataFrame([], "node string, kind string, value string")
+    got = spellings.clusters(like, none, spark.createDataFrame([], "a string, b string, s bigint"), n).collect()
+    assert len(got) == 12 and len({r["cluster"] for r in got}) == 1
 
 
 def test_evidence_of_many_values(spark):
@@ -145,14 +173,15 @@ def test_evidence_of_many_values(spark):
     e = spark.createDataFrame(rows, "id string, node string, website_url string").selectExpr("*", "cast(null as string) AS duns_number", "cast(null as date) AS founded_date")
     own = e.selectExpr("concat_ws('-', substr(id, 1, 8), substr(id, 9, 4), substr(id, 13, 4), substr(id, 17, 4), substr(id, 21)) AS id", "node")
     names_ = list(webs)
-    pairs = spark.createDataFrame([(n(names_[i]), n(names_[i + 1])) for i in range(0, 8, 2)], "a string, b string")
-    got = {r["a"] for r in spellings._checked(pairs, spellings._evidence(e.drop("node"), own)).collect()}
+    pairs = spark.createDataFrame([(n(names_[i]), n(names_[i + 1]), 0.5) for i in range(0, 8, 2)], "a string, b string, cosine double")
+    got = {r["a"] for r in spellings._checked(spellings.alike(pairs), spellings._evidence(e.drop("node"), own)).collect()}
     assert got == {n("zutamontel"), n("stekulonar")}
 
 
 def test_average_linkage_breaks_single_links(spark):
-    links = [(f"{g}{i}", f"{g}{j}", 1.0) for g in "ab" for i in range(6) for j in range(i)] + [("a0", "b0", 0.6)]
-    got = dict(map(tuple, spellings.average_linkage(spark.createDataFrame(links, "a string, b string, s double")).collect()))
+    one = spellings.UNIT
+    links = [(f"{g}{i}", f"{g}{j}", one) for g in "ab" for i in range(6) for j in range(i)] + [("a0", "b0", one * 6 // 10)]
+    got = dict(map(tuple, spellings.average_linkage(spark.createDataFrame(links, "a string, b string, s bigint")).collect()))
     assert {len({v for k, v in got.items() if k[0] == g}) for g in "ab"} == {1} and got["a0"] != got["b0"]
 
 
@@ -200,10 +229,24 @@ def test_admm_reaches_the_optimum(spark):
     w = lambda *x: dict(zip([f"w{i}" for i in range(6)], [float(y) for y in x], strict=True))
     rows = [{"r": 1, "e": "a", "org": "A", **w(2, 3, 0, 0, 0, -1)}, {"r": 1, "e": "b", "org": "A", **w(0.7, 0, 0, 0, 0, -1)}, {"r": 1, "e": "c", "org": "B", **w(1.5, 0, 0, 0, 0, -1)}, {"r": 2, "e": "c", "org": "B", **w(2, 0, 0, 0, 0, -1)}, {"r": 3, "e": "a", "org": "A", **w(0.4, -1.5, 0, 0, 0, -1)}]
     g = spark.createDataFrame(rows).select("r", "e", "org", *[f"w{i}" for i in range(6)])
-    y = {(r["r"], r["e"]): r["confidence"] for r in linkage.solve(g, 60).collect()}
+    y = {(r["r"], r["e"]): r["confidence"] for r in linkage.solve(g).collect()}
     assert y[1, "a"] > 0.9 and y[1, "b"] > 0.9 and y[1, "c"] < 0.5 and y[2, "c"] > 0.9 and y[3, "a"] < 0.1
 
 
+def test_rows_that_fare_alike_are_solved_once():
+    """Many equal candidates as one row with their number give the values they have one by one."""
+    w = np.array([[2.0, 0, 0, 0.2, 0, -1], [0.5, 1, 0, 0.2, 0, -1], [1.5, 0, 0, 1, 0, -1]])
+    once, took = linkage.admm(w, np.array([5.0, 1, 2]), np.array([0, 0, 1]), np.array([0, 0]))
+    each, _ = linkage.admm(w[[0] * 5 + [1, 2, 2]], np.ones(8), np.array([0] * 6 + [1, 1]), np.array([0, 0]))
+    assert np.allclose(once[[0] * 5 + [1, 2, 2]], each, atol=5e-3) and took.max() < linkage.MOST_ROUNDS
+
+
+def test_codes_of_many_owners_say_nothing(spark):
+    rows = [(i, "AAAA1", f"org{i}") for i in range(linkage.ORGS_A_CODE + 1)] + [(100 + i, "BBBB2", "one") for i in range(60)]
+    kept = linkage._shared_by_many(spark.createDataFrame(rows, "e long, e_cage string, org string"), "e_cage").filter("e_cage IS NOT NULL")
+    assert {r["e_cage"] for r in kept.collect()} == {"BBBB2"} and kept.count() == 60
+
+
 # tokens and containers
 @pytest.mark.skipif(not os.path.exists(bpe.DEFAULT_VOCABULARY), reason="vocabulary is not here")
 def test_ids_equal_the_public_encoder(spark):
@@ -293,3 +336,54 @@ def test_cut_texts(spark):
     report = {r["source"]: r for r in truncation.cut_report(docs).collect()}
     assert report["b"]["cut_texts"] == 3 and report[None]["with_text"] == 0
     assert truncation.cut_documents(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_search_wins_where_best_fit_misses(seed):
+    """Sizes around a third and around a half of the capacity, and triplets that fill it exactly."""
+    rnd = random.Random(seed)
+    cases = [[rnd.randrange(640, 720) for _ in range(300)], [x for _ in range(100) for x in (lambda a, b: (a, b, 2048 - a - b))(rnd.randrange(520, 800), rnd.randrange(520, 700))], [rnd.choice([rnd.randrange(900, 1100), rnd.randrange(300, 700)]) for _ in range(400)]]
+    for sizes in cases:
+        sizes.sort(reverse=True)
+        bins, plain = packing.pack(sizes, 2048), packing.best_fit(sizes, 2048)
+        assert sorted(i for b in bins for i in b) == list(range(len(sizes))) and all(sum(sizes[i] for i in b) <= 2048 for b in bins)
+        assert packing.lower_bound(sizes, 2048) <= len(bins) < len(plain)
+
+
+def test_fillings_are_undominated_and_in_order():
+    rnd = random.Random(1)
+    for _ in range(30):
+        count = {}
+        for _ in range(6):
+            s = rnd.randrange(1, 12)
+            count[s] = count.get(s, 0) + 1
+        f = packing.Fillings(count, 20, 10**6)
+        got = [tuple(x) for x in f.around(15, dict(count), 15)]
+        wastes = [15 - sum(x) for x in got]
+        assert wastes == sorted(wastes) and len(set(got)) == len(got)
+        for x in got:
+            left = {s: n - x.count(s) for s, n in count.items()}
+            assert min(left.values()) >= 0 and not any(left.get(s, 0) for h in (0, *x) for s in range(h + 1, h + 15 - sum(x) + 1))
+
+
+@pytest.mark.parametrize("heavy", [False, True])
+def test_components_of_hubs(spark, monkeypatch, heavy):
+    """A star, and a dense core with a hub of leaves, by plain joins and with hubs joined by broadcast."""
+    if heavy:
+        monkeypatch.setattr(components_module, "ONE_TASK", 0)
+        monkeypatch.setattr(components_module, "HEAVY", 20)
+    rnd = random.Random(3)
+    pairs = [("hub", f"l{i:03d}") for i in range(300)] + [(f"c{rnd.randrange(30):02d}", f"c{rnd.randrange(30):02d}") for _ in range(160)] + [("c00", f"m{i:03d}") for i in range(200)] + [(f"r{i}", f"r{(i + 1) % 7}") for i in range(7)]
+    up = {}
+
+    def root(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in pairs:
+        if a != b:
+            x, y = sorted((root(a), root(b)))
+            up[y] = x
+    got = {r["id"]: r["group_id"] for r in components(spark.createDataFrame(pairs, "a string, b string")).collect()}
+    assert got == {x: root(x) for x in up}
