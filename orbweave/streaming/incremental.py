@@ -30,16 +30,16 @@ def keep_features(state_path: str):
     """
 
     def fold(batch: DataFrame, number: int) -> None:
-        spark, before, now = batch.sparkSession, f"{state_path}/{(number + 1) % 2}", f"{state_path}/{number % 2}"
+        spark, before, now = batch.sparkSession, (number + 1) % 2, number % 2
         signed = batch.select("entity_id", "kind", "score", "day", "sign").filter(F.col("entity_id").isNotNull())
         days = signed.filter(F.col("day").isNotNull()).groupBy("entity_id", "kind", "day").agg(F.sum("sign").alias("n"))
         if number:
-            state, standing = spark.read.parquet(f"{before}/features"), spark.read.parquet(f"{before}/days")
+            state, standing = spark.read.parquet(f"{state_path}/{before}"), spark.read.parquet(f"{state_path}/days-{before}")
             days = standing.unionByName(days).groupBy("entity_id", "kind", "day").agg(F.sum("n").alias("n"))
         else:
             state = deltas.summarise(signed.limit(0))
-        days.filter("n <> 0").write.mode("overwrite").parquet(f"{now}/days")
-        live = spark.read.parquet(f"{now}/days").filter("n > 0")
-        deltas.apply_deltas(state, signed, live).write.mode("overwrite").parquet(f"{now}/features")
+        days.filter("n <> 0").write.mode("overwrite").parquet(f"{state_path}/days-{now}")
+        live = spark.read.parquet(f"{state_path}/days-{now}").filter("n > 0")
+        deltas.apply_deltas(state, signed, live).write.mode("overwrite").parquet(f"{state_path}/{now}")
 
     return fold

@@ -89,7 +89,7 @@ def test_retracted_latest_gives_way_to_the_one_before(spark, tmp_path):
     schema = "entity_id string, kind string, score decimal(3,2), day date, sign int"
     fold(spark.createDataFrame([("a", "k", None, day(2026, 1, 1), 1), ("a", "k", None, day(2026, 1, 5), 1)], schema), 0)
     fold(spark.createDataFrame([("a", "k", None, day(2026, 1, 5), -1)], schema), 1)
-    r = spark.read.parquet(f"{tmp_path}/1/features").first()
+    r = spark.read.parquet(f"{tmp_path}/1").first()
     assert (r["n"], r["latest"]) == (1, day(2026, 1, 1))
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         keep_features(str(tmp_path / "none"))(spark.createDataFrame([], schema), 3)
@@ -107,7 +107,7 @@ def test_kept_features_equal_a_rebuild(spark, tmp_path):
         fold(spark.createDataFrame([(*x, 1) for x in new] + [(*x, -1) for x in gone], schema), number)
         standing += new
         rebuilt = deltas.summarise(spark.createDataFrame([(*x, 1) for x in standing], schema))
-        kept = spark.read.parquet(f"{tmp_path}/{number % 2}/features").select(*rebuilt.columns)
+        kept = spark.read.parquet(f"{tmp_path}/{number % 2}").select(*rebuilt.columns)
         assert kept.exceptAll(rebuilt).isEmpty() and rebuilt.exceptAll(kept).isEmpty()
 
 
