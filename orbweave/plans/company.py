@@ -232,7 +232,7 @@ query("fnc_title_terms", f"WITH w AS (SELECT doc_id, title, {_TW} w FROM documen
     lambda s, d: table(s, d, "documents").filter("title IS NOT NULL").select("doc_id", F.array_join(T.title_terms(F.col("title")), "|").alias("terms")))
 query("fnc_tag_terms", "SELECT tag, array_to_string(list_sort(list_distinct(list_concat([lower(trim(tag)), replace(lower(trim(tag)), '_', ' ')], string_split(regexp_replace(lower(trim(tag)), '[_-]', ' ', 'g'), ' ')))), '|') AS terms, n FROM (SELECT tag, count(*)::BIGINT n FROM (SELECT unnest(technology_tags) tag FROM entities) WHERE tag IS NOT NULL GROUP BY 1)")(
     lambda s, d: V.entities(s, d).select(F.explode("technology_tags").alias("tag")).filter("tag IS NOT NULL").groupBy("tag").agg(F.count("*").alias("n")).select("tag", F.array_join(T.tag_terms(F.col("tag")), "|").alias("terms"), "n"))
-query("fnc_synonyms")(lambda s, d: V.startups(s, d).filter(F.size("technology_tags") > 0).select("id", F.array_join(T.with_synonyms(F.col("technology_tags")), "|").alias("terms")))
+
 query("fnc_summaries", _B + " SELECT id, concat_ws(', ', nullif(trim(contracting_agency), ''), nullif(trim(place_of_performance), '')) AS line, CASE WHEN contract_value > 0 THEN round(log10(contract_value::DOUBLE + 1), 6) ELSE 0 END AS size, strftime(award_date, '%B %Y') AS month FROM c JOIN (SELECT DISTINCT ON (id) id, place_of_performance FROM contracts ORDER BY id, place_of_performance) x USING (id)")(
     lambda s, d: V.contracts(s, d).join(table(s, d, "contracts").groupBy("id").agg(F.min("place_of_performance").alias("place")), "id").select("id", F.concat_ws(", ", F.nullif(F.trim("contracting_agency"), F.lit("")), F.nullif(F.trim("place"), F.lit(""))).alias("line"), F.round(T.safe_log(F.col("contract_value").cast("double")), 6).alias("size"), F.date_format("award_date", "MMMM yyyy").alias("month")))
 query("fnc_clean_titles", "SELECT doc_id, regexp_replace(title, '^[?\\s\\x00-\\x1f\\x7f]+', '') AS title FROM documents WHERE title IS NOT NULL AND regexp_full_match(title, '[ -~]*')")(
