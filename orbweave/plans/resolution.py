@@ -86,6 +86,28 @@ def _overlap(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("a", "b", R.share_a_token(F.col("la"), F.col("lb")).alias("overlap"))
 
 
+_LOW = lambda t: f"list_transform(list_filter({t}.technology_tags, lambda t: t IS NOT NULL), lambda t: lower(t))"
+
+
+def _sides(spark: SparkSession, sf: str, e: DataFrame) -> DataFrame:
+    e = e.select("id", R.resolver_name(F.col("canonical_name")).alias("name"), F.col("cage_code").alias("cage"), F.col("duns_number").alias("duns"), F.col("headquarters_location").alias("place"), F.col("technology_tags").alias("tags"))
+    side = lambda x: e.select(*[F.col(c).alias(x if c == "id" else f"{c}_{x}") for c in e.columns])
+    return _pairs(spark, sf).join(side("a"), "a").join(side("b"), "b")
+
+
+@query("er_context_boosts", f"WITH {_PAIRS} SELECT a, b, round(CASE WHEN list_has_any(list_filter(regexp_split_to_array(lower(x.headquarters_location), '[\\s,]+'), lambda t: t <> ''), list_filter(regexp_split_to_array(lower(y.headquarters_location), '[\\s,]+'), lambda t: t <> '')) THEN 0.05::DOUBLE ELSE 0 END + least(0.03::DOUBLE * coalesce(len(list_intersect({_LOW('x')}, {_LOW('y')})), 0), 0.1::DOUBLE), 2) AS boost FROM pp JOIN entities x ON x.id = a JOIN entities y ON y.id = b WHERE regexp_full_match(x.headquarters_location, '[ -~]+') AND regexp_full_match(y.headquarters_location, '[ -~]+')")
+def _boosts(spark: SparkSession, sf: str) -> DataFrame:
+    """What context adds to each pair of the queue whose places are in plain letters."""
+    d = _sides(spark, sf, V.entities(spark, sf).filter(F.col("headquarters_location").rlike("^[ -~]+$")))
+    return d.select("a", "b", F.round(R.context_boost(F.col("place_a"), F.col("place_b"), F.col("tags_a"), F.col("tags_b")), 2).alias("boost"))
+
+
+@query("er_resolved_pairs")
+def _resolved(spark: SparkSession, sf: str) -> DataFrame:
+    """Every pair of the queue resolved by codes first, then by names and context."""
+    return R.resolved(_sides(spark, sf, V.entities(spark, sf)))
+
+
 query("er_pair_listing", f"WITH {_PAIRS} SELECT a, b, score FROM pp ORDER BY score DESC, a, b LIMIT 100")(lambda s, d: _pairs(s, d).orderBy(F.desc("score"), "a", "b").limit(100))
 query("er_fuzzy_groups", f"WITH {_PAIRS} SELECT a AS leader, count(DISTINCT b)::BIGINT AS followers FROM pp WHERE score >= 85 GROUP BY 1")(lambda s, d: _pairs(s, d).filter("score >= 85").groupBy(F.col("a").alias("leader")).agg(F.count_distinct("b").alias("followers")))
 query("er_latest_decisions", "SELECT a, b, decision FROM (SELECT least(entity_a, entity_b) a, greatest(entity_a, entity_b) b, lower(trim(decision, E' \\t\\r\\n')) decision, row_number() OVER (PARTITION BY least(entity_a, entity_b), greatest(entity_a, entity_b) ORDER BY queued_at DESC NULLS LAST, match_id DESC) r FROM potential_matches WHERE trim(decision, E' \\t\\r\\n') <> '' AND entity_a <> entity_b) WHERE r = 1")(
